@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op9_ngram_jaccard_join
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -36,7 +36,7 @@ WINDOW = 13
 GRAM = 3
 #: Words are hashed in blocks of so many bytes of text, and packed strings leave a map task at so many bytes.
 BLOCK_BYTES = 2 << 20
-FLUSH_BYTES = 96 << 20
+FLUSH_BYTES = 32 << 20
 
 
 def _pack(strings: list[bytes], owners: np.ndarray, keys: np.ndarray, firsts: np.ndarray) -> bytes:
@@ -157,22 +157,37 @@ def _later_windows(data: bytes, owner: np.ndarray, start: np.ndarray, end: np.nd
     return mark
 
 
+def _windows(blobs: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All strings as one, and of each window: word number in its string, string, byte range, hash. Hashed in blocks."""
+    found, block, size, strings, offset = [], [], 0, 0, 0
+    for i, blob in enumerate(blobs):
+        block.append(blob)
+        size += len(blob) + 1
+        if size >= BLOCK_BYTES or i + 1 == len(blobs):
+            words = Words(block)
+            first, h = words.run_hashes(window)
+            string = words.doc[first]
+            found.append(((first - words.first_words()[string]).astype(np.int32), string + strings, words.starts[first] + offset, words.ends[first + window - 1] + offset, h))
+            strings += int(words.doc[-1]) + 1
+            offset += size
+            block, size = [], 0
+    return b"\n".join(blobs), *(np.concatenate([f[i] for f in found]) for i in range(5))
+
+
 def _count(window: int):
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
         ranges = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(4, -1) for x in bucket["data"][bucket["kind"] == 1]]
         parts = [_unpack(x) for x in bucket["data"][bucket["kind"] == 0]]
         if parts:
-            words = Words([p[0] for p in parts])
+            data, at, string, start, end, h = _windows([p[0] for p in parts], window)
             owners, keys, firsts = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2, 3))
-            first, h = words.run_hashes(window)
-            string = words.doc[first]
-            mark = _later_windows(words.data, owners[string], words.starts[first], words.ends[first + window - 1], h)
-            at, string = first[mark], string[mark]
+            mark = _later_windows(data, owners[string], start, end, h)
+            at, string = at[mark], string[mark]
             if len(at):
                 opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (string[1:] != string[:-1])]))
                 closes = np.append(opens[1:], len(at)) - 1
-                s, base = string[opens], words.first_words()[string[opens]]
-                ranges.append(np.stack([owners[s], keys[s], firsts[s] + at[opens] - base, firsts[s] + at[closes] - base + window]))
+                s = string[opens]
+                ranges.append(np.stack([owners[s], keys[s], firsts[s] + at[opens], firsts[s] + at[closes] + window]))
         out = np.concatenate(ranges, axis=1) if ranges else np.zeros((4, 0), np.int64)
         return pd.DataFrame({"id": out[0], "key": out[1], "span": (out[2] << 32) | out[3]})
 
