@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe_encode_decode
 from .jaccard_join import op9_ngram_jaccard_join
+from .packing import op4_minimum_bin_slack_packing
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe_encode_decode, op4_minimum_bin_slack_packing, op9_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
