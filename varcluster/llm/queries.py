@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op3_bpe_encode_decode
 from .jaccard_join import op9_ngram_jaccard_join
+from .licenses import op10_license_scan
 from .packing import op4_minimum_bin_slack_packing
+from .secrets import op8_secret_scan
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe_encode_decode, op4_minimum_bin_slack_packing, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe_encode_decode, op4_minimum_bin_slack_packing, op8_secret_scan, op9_ngram_jaccard_join, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
