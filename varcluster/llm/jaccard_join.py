@@ -220,13 +220,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     large = members.where(F.col("n") > CHUNK)
     some_large = not large.isEmpty()
     columns = ["id", "text", "key", "copies", "root", "whole", "side", "within"]
-    small = texts.join(members.where(F.col("n") <= CHUNK), "id").withColumns({"whole": F.lit(True), "side": F.lit(0), "within": F.lit(True)})
+    small = texts.join(members.where(F.col("n") <= CHUNK).hint("shuffle_merge"), "id").withColumns({"whole": F.lit(True), "side": F.lit(0), "within": F.lit(True)})
     verdict = "id long, links long, root long, whole boolean"
-    checked = small.select(*columns, F.pmod(F.xxhash64("root"), F.lit(8 * parts)).alias("g")).groupBy("g").applyInPandas(_verify(threshold, width), verdict)
+    checked = small.select(*columns, F.pmod(F.xxhash64("root"), F.lit(8 * parts)).alias("g")).repartition(parts, "g").groupBy("g").applyInPandas(_verify(threshold, width), verdict)
     if some_large:
-        sent = texts.join(_cut(large, threshold).select("id", "key", "copies", "root", "to"), "id").withColumn("to", F.explode("to")).select("*", "to.*")
+        sent = texts.join(_cut(large, threshold).select("id", "key", "copies", "root", "to").hint("shuffle_merge"), "id").withColumn("to", F.explode("to")).select("*", "to.*")
         sent = sent.withColumns({"whole": F.lit(False), "within": ~F.col("cross") & (F.col("i") == F.col("j"))})
-        checked = checked.union(sent.select(*columns, "step", "cross", "i", "j").groupBy("root", "step", "cross", "i", "j").applyInPandas(_verify(threshold, width), verdict))
+        checked = checked.union(sent.select(*columns, "step", "cross", "i", "j").repartition(parts, "root", "step", "cross", "i", "j").groupBy("root", "step", "cross", "i", "j").applyInPandas(_verify(threshold, width), verdict))
     checked = materialise(checked, "verified")
     found = checked.where("whole").select("id", "links", F.col("root").alias("class_id"))
     if some_large:
