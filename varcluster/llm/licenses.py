@@ -70,27 +70,35 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?<!{LETTER})(?i:{(BREAK + '+').join(phrase.split())})(?!{LETTER})"
 
 
-def phrase_places(docs: DataFrame, text: Column, phrases: dict[str, str]) -> dict[str, Column]:
-    """Columns over all phrases: n_words, n_base, first_word, last_word, base_labels (an array)."""
-    n_words = count_words(text)
-    any_phrase = F.rlike(text, F.lit("|".join(map(phrase_pattern, phrases))))
-    counts, firsts, lasts, labels = [], [], [], []
-    for phrase, label in phrases.items():
-        parts = F.split(text, phrase_pattern(phrase))
-        n = F.size(parts) - 1
-        found = any_phrase & (n > 0)
-        counts.append(F.when(any_phrase, n).otherwise(0))
-        firsts.append(F.when(found, count_words(F.element_at(parts, 1))))
-        lasts.append(F.when(found, n_words - count_words(F.element_at(parts, -1)) - len(phrase.split())))
+def phrase_gate(phrase: str) -> str:
+    """Found wherever the phrase is; begins with a letter, so that most places fail at once."""
+    return f"(?i:{(BREAK + '+').join(phrase.split())})"
+
+
+def with_phrases(docs: DataFrame, text: Column, phrases: dict[str, str], names: dict[str, str]) -> DataFrame:
+    """docs, which have n_words, with n_base, first_word, last_word and base_labels (an array), over all phrases.
+
+    A text is split at a phrase only where the phrase's gate finds it: the parts are a column of their own, null
+    elsewhere, so that no other expression splits again."""
+    counts, firsts, lasts, labels, parts = [], [], [], [], {}
+    for i, phrase in enumerate(phrases):
+        parts[free_name(docs, f"parts{i}")] = F.when(F.rlike(text, F.lit(phrase_gate(phrase))), F.split(text, phrase_pattern(phrase)))
+    out = docs.withColumns(parts)
+    for name, (phrase, label) in zip(parts, phrases.items()):
+        found = F.col(name).isNotNull() & (F.size(name) > 1)
+        counts.append(F.when(found, F.size(name) - 1).otherwise(0))
+        firsts.append(F.when(found, count_words(F.element_at(name, 1))))
+        lasts.append(F.when(found, F.col(names["n_words"]) - count_words(F.element_at(name, -1)) - len(phrase.split())))
         labels.append(F.when(found, F.lit(label)))
     least, most = (firsts[0], lasts[0]) if len(phrases) == 1 else (F.least(*firsts), F.greatest(*lasts))
-    return {
-        "n_words": n_words,
-        "n_base": sum(counts[1:], counts[0]).cast("long"),
-        "first_word": least,
-        "last_word": most,
-        "base_labels": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))),
-    }
+    return out.withColumns(
+        {
+            names["n_base"]: sum(counts[1:], counts[0]).cast("long"),
+            names["first_word"]: least,
+            names["last_word"]: most,
+            names["base_labels"]: F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))),
+        }
+    ).drop(*parts)
 
 
 def python_words(text: str) -> list[str]:
@@ -115,6 +123,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, l
     sets = [(label, sorted(set(python_words(t)))) for label, texts in templates.items() for t in texts]
     sets = [(label, words) for label, words in sets if words]
     known = sorted({w for _, words in sets for w in words})
+    if not known:
+        raise ValueError("no template has a word")
     if len(known) > TEMPLATE_WORDS:
         raise ValueError(f"templates have {len(known)} words; {TEMPLATE_WORDS} at most are literals of a plan")
     often = word_frequencies(docs, text_col, known)
@@ -122,14 +132,13 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, l
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = {c: free_name(docs, c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
-    found = phrase_places(docs, text, phrases)
     ranks = F.create_map(*[F.lit(x) for w in known for x in (w, order[w])])
     ordered = [(label, sorted(words, key=order.get)) for label, words in sets]
     needs = [max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words in ordered]
     prefixes = sorted({w for (_, words), need in zip(ordered, needs) for w in words[: len(words) - need + 1]})
-    hit = "(?i)(?<!%s)(?:%s)(?!%s)" % (LETTER, "|".join(prefixes), LETTER)
+    hit = "(?i)(?:%s)" % "|".join(prefixes)
 
-    blocks = F.filter(F.split(text, "\n"), lambda b: F.rlike(b, F.lit(hit)))
+    blocks = F.filter(F.split(text, "\n"), lambda b: F.rlike(b, F.lit(hit)))  # the prefix filter, a superset
     ranked = F.transform(
         blocks,
         lambda b: F.struct(
@@ -153,10 +162,13 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, l
     def verdict(block: Column) -> Column:
         return F.array(*[F.struct(F.lit(label).alias("label"), share(block, words, need).alias("share")) for (label, words), need in zip(ordered, needs)])
 
-    hits = F.when(F.rlike(text, F.lit(hit)), F.filter(F.flatten(F.transform(ranked, verdict)), lambda h: h["share"].isNotNull()))
-    out = docs.withColumns({names[c]: v for c, v in found.items()})
-    got = free_name(out, "hits")
-    out = out.withColumn(got, hits)
+    hits = F.filter(F.flatten(F.transform(ranked, verdict)), lambda h: h["share"].isNotNull())
+    words, got = free_name(docs, "words"), free_name(docs, "hits")
+    ends = lambda at: F.element_at(words, at) == ""
+    n_words = F.size(words) - ends(1).cast("int") - (ends(-1) & (F.size(words) > 1)).cast("int")
+    out = docs.withColumn(words, F.split(F.lower(text), BREAK + "+"))
+    out = out.withColumns({names["n_words"]: n_words.cast("long"), got: F.arrays_overlap(words, F.array(*map(F.lit, prefixes)))}).drop(words)
+    out = with_phrases(out, text, phrases, names).withColumn(got, F.when(F.col(got), hits))
     met = F.coalesce(F.transform(F.col(got), lambda h: h["label"]), F.array().cast("array<string>"))
     return out.withColumns(
         {

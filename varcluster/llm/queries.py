@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import op6_additive_quantisation_search
 from .bpe import op3_bpe_encode_decode
 from .fingerprints import op5_document_fingerprints
+from .html_extract import op2_html_extraction
 from .jaccard_join import op9_ngram_jaccard_join
 from .licenses import op10_license_scan
 from .packing import op4_minimum_bin_slack_packing
@@ -11,6 +13,20 @@ from .quality import op7_quality_classifier
 from .secrets import op8_secret_scan
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe_encode_decode, op4_minimum_bin_slack_packing, op5_document_fingerprints, op7_quality_classifier, op8_secret_scan, op9_ngram_jaccard_join, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_html_extraction,
+        op3_bpe_encode_decode,
+        op4_minimum_bin_slack_packing,
+        op5_document_fingerprints,
+        op6_additive_quantisation_search,
+        op7_quality_classifier,
+        op8_secret_scan,
+        op9_ngram_jaccard_join,
+        op10_license_scan,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
