@@ -140,7 +140,7 @@ def _search(model: Codebooks, shortlist: int):
                 best = best[ids[best] != own]
                 best = best[np.argsort(-score[best], kind="stable")][:shortlist]
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "estimate": score[best].astype(float)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "estimate": []})
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=float if c == "estimate" else np.int64) for c in ("query_id", "vec_id", "estimate")})
 
     return run
 

@@ -164,7 +164,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
 def _runs(run: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [pd.DataFrame({"host": [], "hash": [], "low": [], "high": [], "places": []})]
+            out = [pd.DataFrame({c: pd.Series(dtype=object if c in ("host", "places") else np.int64) for c in ("host", "hash", "low", "high", "places")})]
             for host, pages in batch.groupby("host", sort=False):
                 words, owner, place, judged = [], [], [], []
                 for i, stream in enumerate(pages["outside"]):
@@ -194,15 +194,21 @@ def _runs(run: int):
 
 
 def unique_text(stream: list[dict], covered: np.ndarray, run: int) -> str:
-    """The unmarked blocks without the words of covered runs, or with them if nothing else is left."""
+    """The unmarked blocks without the words of covered runs, or with them if nothing else is left. A covered stretch
+    that reaches into a block by less than a run, and does not fill it, is chance and stays."""
     sizes = [b["text"].count(" ") + 1 for b in stream]
     edge = np.zeros(sum(sizes) + 1, np.int64)
     np.add.at(edge, covered, 1)
     np.add.at(edge, covered + run, -1)
-    stay, at, out = (np.cumsum(edge)[:-1] == 0).tolist(), 0, []
+    stay, at, out = np.cumsum(edge)[:-1] == 0, 0, []
     for block, n in zip(stream, sizes):
         if block["unmarked"]:
-            left = " ".join([w for w, k in zip(block["text"].split(" "), stay[at : at + n]) if k])
+            own = stay[at : at + n]
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], own, [True]]).astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if b - a < min(run, n):
+                    own[a:b] = True
+            left = " ".join([w for w, k in zip(block["text"].split(" "), own.tolist()) if k])
             if left:
                 out.append(left)
         at += n

@@ -167,7 +167,7 @@ def _verify(threshold: float, width: int):
         sets = shingle_sets(rows["text"].tolist(), width)
         own = [_set_key(s) == k for s, k in zip(sets, rows["key"])]  # an id may come with other texts
         rows = rows.assign(at=np.arange(len(rows)))[own].drop_duplicates("id")
-        out = [pd.DataFrame({"id": [], "links": [], "root": [], "whole": []})]
+        out = [pd.DataFrame({c: pd.Series(dtype=bool if c == "whole" else np.int64) for c in ("id", "links", "root", "whole")})]
         for (_, whole), part in rows.groupby(["root", "whole"], sort=False):
             ids = part["id"].to_numpy()
             n, root = group(ids, part["copies"].to_numpy(), [sets[i] for i in part["at"]], part["side"].to_numpy(), bool(part["within"].iloc[0]))
