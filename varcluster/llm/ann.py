@@ -6,11 +6,11 @@ vector's norm to its sum's. A query's inner products with all codewords are a lo
 of one entry per codebook, times the stored norm. The best SHORTLIST codes of a query are reranked by the inner
 product of the original vectors, in double precision.
 
-Codebooks are fitted on the driver to a bounded sample, the MAX_TRAINING vectors of smallest hash of the id: k-means
-on residuals first, then rounds of beam-search coding and least squares over all codebooks at once. Every vector is
-coded. Queries are a stated set; queries and codes are dealt into blocks by a hash, each pair of blocks is one group
-with a bounded number of rows, and a group sends back its best SHORTLIST codes per query. Best lists combine before
-they shuffle; the shortlist fetches its vectors by a join, and nothing whole passes one task or the driver.
+Codebooks are fitted on the driver to a bounded sample, the MAX_TRAINING vectors of smallest hash of the id, each by
+k-means on the residuals of those before it. Every vector is coded. Queries are a stated set; queries and codes are
+dealt into blocks by a hash, and each pair of blocks is one group with a bounded number of rows, which sends back one
+row per query with its best SHORTLIST codes. The shortlist fetches its vectors by a join, and nothing whole passes one
+task or the driver.
 
 Nulls and edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 null ids or vectors whose length is not the commonest one; rows that repeat an id count once, by their first vector in
@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from .common import materialise, shuffle_partitions, table
 
-BOOKS, WORDS, BEAM = 8, 64, 4
-MAX_TRAINING = 8_192
+BOOKS, WORDS, BEAM = 24, 64, 4
+MAX_TRAINING = 16_384
 K, SHORTLIST = 20, 400
 #: Rows of a block of queries and of a block of codes.
-QUERY_BLOCK, CODE_BLOCK = 4_096, 16_384
+QUERY_BLOCK, CODE_BLOCK = 1_024, 65_536
 
 
 @dataclass
@@ -44,58 +44,46 @@ class Codebooks:
 
     words: np.ndarray
 
-    def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """Codes of the rows of x, by beam search; partial sums are compared through tables of inner products."""
+    def encode(self, x: np.ndarray, beam: int = BEAM, block: int = 2048) -> np.ndarray:
+        """Codes of the rows of x, by beam search: after each book the beam keeps the residuals of least norm."""
         books, size, dim = self.words.shape
-        flat = self.words.reshape(-1, dim)
-        dot, gram = x @ flat.T, flat @ flat.T
-        norm = np.einsum("ij,ij->i", flat, flat)
-        n = len(x)
-        codes = np.zeros((n, 1, 0), np.int64)
-        cost = np.zeros((n, 1))
-        for m in range(books):
-            own = slice(m * size, (m + 1) * size)
-            step = norm[own] - 2 * dot[:, None, own]
-            total = cost[:, :, None] + step
-            for b in range(m):
-                total = total + 2 * gram[codes[:, :, b] + b * size, own]
-            flat_total = total.reshape(n, -1)
-            keep = min(beam, flat_total.shape[1])
-            best = np.argpartition(flat_total, keep - 1, axis=1)[:, :keep]
-            rows = np.arange(n)[:, None]
-            cost = flat_total[rows, best]
-            codes = np.concatenate([codes[rows, best // size], (best % size)[:, :, None]], axis=2)
-        return codes[np.arange(n), cost.argmin(1)].astype(np.uint8)
+        words = self.words.astype(np.float32)
+        norms = np.einsum("mkd,mkd->mk", words, words)
+        out = np.zeros((len(x), books), np.uint8)
+        for start in range(0, len(x), block):
+            rest = x[start : start + block, None].astype(np.float32)
+            n = len(rest)
+            rows, cost, codes = np.arange(n)[:, None], np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.uint8)
+            for m in range(books):
+                total = (cost[:, :, None] + norms[m] - 2 * (rest.reshape(-1, dim) @ words[m].T).reshape(n, -1, size)).reshape(n, -1)
+                keep = min(beam, total.shape[1])
+                best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
+                cost, parent, word = total[rows, best], best // size, best % size
+                rest = rest[rows, parent] - words[m][word]
+                codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
+            out[start : start + n] = codes[np.arange(n), cost.argmin(1)]
+        return out
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
 
 
-def fit(x: np.ndarray, books: int = BOOKS, size: int = WORDS, rounds: int = 4, seed: int = 7) -> Codebooks:
+def fit(x: np.ndarray, books: int = BOOKS, size: int = WORDS, seed: int = 7) -> Codebooks:
+    """Each book is the k-means of what the books before it leave."""
     rng = np.random.default_rng(seed)
     size = min(size, len(x))
-    rest, words = x.copy(), []
+    rest, words = x.astype(np.float32), []
     for _ in range(books):
         centres = rest[rng.choice(len(rest), size, replace=False)].copy()
         for _ in range(8):
             near = (np.einsum("ij,ij->i", centres, centres) - 2 * rest @ centres.T).argmin(1)
-            count = np.bincount(near, minlength=size)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, rest)
-            centres[count > 0] = sums[count > 0] / count[count > 0, None]
+            member = (near[:, None] == np.arange(size)).astype(np.float32)
+            count = member.sum(0)
+            centres[count > 0] = (member.T @ rest)[count > 0] / count[count > 0, None]
         near = (np.einsum("ij,ij->i", centres, centres) - 2 * rest @ centres.T).argmin(1)
         rest = rest - centres[near]
         words.append(centres)
-    model = Codebooks(np.array(words))
-    for _ in range(rounds):
-        codes = model.encode(x)
-        column = codes.astype(np.int64) + np.arange(books) * size
-        one_hot = np.zeros((len(x), books * size), np.float32)
-        one_hot[np.arange(len(x))[:, None], column] = 1
-        a, b = one_hot.T @ one_hot, one_hot.T @ x.astype(np.float32)
-        solved = np.linalg.solve(a.astype(float) + 0.1 * np.eye(books * size), b + 0.1 * model.words.reshape(books * size, -1))
-        model = Codebooks(solved.reshape(books, size, -1))
-    return model
+    return Codebooks(np.array(words))
 
 
 def usable(vector: Column) -> Column:
@@ -139,8 +127,8 @@ def _search(model: Codebooks, shortlist: int):
                 best = np.argpartition(-score, keep - 1)[:keep]
                 best = best[ids[best] != own]
                 best = best[np.argsort(-score[best], kind="stable")][:shortlist]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "estimate": score[best].astype(float)}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=float if c == "estimate" else np.int64) for c in ("query_id", "vec_id", "estimate")})
+                out.append((own, ids[best], score[best].astype(float)))
+        return pd.DataFrame({"query_id": pd.Series([r[0] for r in out], dtype=np.int64), "vec_ids": pd.Series([r[1] for r in out], dtype=object), "estimates": pd.Series([r[2] for r in out], dtype=object)})
 
     return run
 
@@ -166,9 +154,9 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(max(1, n))).cast("int")
     codes = rows.mapInPandas(_code_blocks(model), "id long, code binary, ratio double").withColumn("c", of(code_blocks)).withColumn("q", F.explode(number(query_blocks)))
     blocks = asked.withColumn("q", of(query_blocks)).withColumn("c", F.explode(number(code_blocks)))
-    found = blocks.groupBy("q", "c").cogroup(codes.groupBy("q", "c")).applyInPandas(_search(model, shortlist), "query_id long, vec_id long, estimate double")
-    pick = F.slice(F.sort_array(F.collect_list(F.struct(F.col("estimate"), (-F.col("vec_id")).alias("minus"))), asc=False), 1, shortlist)
-    short = found.groupBy("query_id").agg(pick.alias("short")).select("query_id", F.explode("short").alias("s")).select("query_id", (-F.col("s.minus")).alias("vec_id"))
+    found = blocks.groupBy("q", "c").cogroup(codes.groupBy("q", "c")).applyInPandas(_search(model, shortlist), "query_id long, vec_ids array<long>, estimates array<double>")
+    pairs = F.zip_with("estimates", "vec_ids", lambda e, v: F.struct(e.alias("estimate"), (-v).alias("minus")))
+    short = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs)), asc=False), 1, shortlist).alias("short")).select("query_id", F.explode("short").alias("s")).select("query_id", (-F.col("s.minus")).alias("vec_id"))
     with_vectors = short.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("other")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("own")), "query_id")
     product = F.aggregate(F.zip_with("own", "other", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = with_vectors.select("query_id", "vec_id", product.alias("score"))
