@@ -22,23 +22,23 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialise, table
 
-#: (kind, pattern, group of the value, least length of the value). Base patterns are fixed values. `{12,}` and `{32,}`
+#: (kind, pattern, group of the value, least length of the value, patterns that the value must hold). Base patterns are fixed values. `{12,}` and `{32,}`
 #: find what `+` finds with the length asked for afterwards: runs are as long as they can be, and a run that fails
 #: holds no longer one.
 BASE = (
-    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
-    ("hex", r"[0-9a-f]{32,}", 0, 32),
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ()),
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16, ()),
+    ("hex", r"[0-9a-f]{32,}", 0, 32, ()),
 )
 MORE = (
-    ("known", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 16),
-    ("random", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{40,}", 0, 40),
+    ("known", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 16, ()),
+    ("random", r"[A-Za-z0-9+/_-]{40,}", 0, 40, ("[0-9]", "[A-Z]", "[a-z]")),
 )
 MANY_OWNERS = 3
-PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|1234567|abcdefg|^(.)\1*$"
+PLACEHOLDER = "(?i)example|sample|placeholder|changeme|your[_-]|xxxx|1234567|abcdefg"
 
 
-def found_spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+def found_spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, musts: tuple[str, ...]) -> Column:
     """array<struct<start, rank, kind, end, value>> of one kind's matches."""
     gaps = F.split(text, pattern)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -54,6 +54,8 @@ def found_spans(text: Column, kind: str, rank: int, pattern: str, group: int, le
     numbers = F.sequence(F.lit(1), F.size(whole))
     state = F.aggregate(numbers, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)
     kept = F.filter(state["out"], lambda s: F.length(s["value"]) >= least)
+    for must in musts:
+        kept = F.filter(kept, lambda s: F.rlike(s["value"], F.lit(must)))
     return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(empty)
 
 
@@ -61,6 +63,11 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def is_placeholder(value: Column) -> Column:
+    """A word of examples, or one character over and over."""
+    return F.rlike(value, F.lit(PLACEHOLDER)) | (F.replace(value, F.substring(value, 1, 1), F.lit("")) == "")
+
+
 def ownership(values: DataFrame) -> DataFrame:
     """(hash, owners, repositories) of rows (hash, owner, repository)."""
     by_repository = values.groupBy("hash", "owner", "repository").agg(F.count("*").alias("rows"))
@@ -77,7 +84,7 @@ def secret_scan(docs: DataFrame, text_col: str = "text", owner: Column | None =
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = {c: free_name(docs, c) for c in ("base_spans", "secret_spans", "n_live", "n_example", "more_spans", "row", "owner_", "repository_", "hashes", "live")}
-    joined = lambda kinds, first: F.array_sort(F.concat(*[found_spans(text, k, first + i, p, g, n) for i, (k, p, g, n) in enumerate(kinds)]))
+    joined = lambda kinds, first: F.array_sort(F.concat(*[found_spans(text, k, first + i, p, g, n, musts) for i, (k, p, g, n, musts) in enumerate(kinds)]))
     found = docs.select(
         *keep,
         F.monotonically_increasing_id().alias(names["row"]),
@@ -89,7 +96,7 @@ def secret_scan(docs: DataFrame, text_col: str = "text", owner: Column | None =
     found = materialise(found, "secret-candidates")
     row = names["row"]
     each = found.select(row, F.col(names["owner_"]).alias("owner"), F.col(names["repository_"]).alias("repository"), F.explode(F.concat(names["base_spans"], names["more_spans"])).alias("span"))
-    each = each.select(row, "owner", "repository", F.xxhash64("span.value").alias("hash"), F.rlike("span.value", F.lit(PLACEHOLDER)).alias("placeholder"), "span")
+    each = each.select(row, "owner", "repository", F.xxhash64("span.value").alias("hash"), is_placeholder(F.col("span.value")).alias("placeholder"), "span")
     common = ownership(each).where(F.col("owners") >= many_owners).select("hash", F.lit(True).alias("copied"))
     judged = each.join(common, "hash", "left").withColumn("example", F.coalesce("copied", F.lit(False)) | F.col("placeholder"))
     of_row = judged.groupBy(row).agg(
