@@ -42,6 +42,8 @@ ROWS = 7
 #: Classes of a component that are compared in one task.
 CHUNK = 512
 BLOCK_BYTES = 2 << 20
+#: Texts whose shingles a task holds at once while it signs them.
+SLICE = 1_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -104,9 +106,11 @@ def _set_key(shingles: np.ndarray) -> bytes | None:
 def _sign(rows: int, bands: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), width)
-            signs = [band_hashes(s, rows, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "key": [_set_key(s) for s in sets], "size": [len(s) for s in sets], "bands": signs})
+            for start in range(0, len(batch), SLICE):
+                part = batch.iloc[start : start + SLICE]
+                sets = shingle_sets(part["text"].tolist(), width)
+                signs = [band_hashes(s, rows, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
+                yield pd.DataFrame({"id": part["id"], "key": [_set_key(s) for s in sets], "size": [len(s) for s in sets], "bands": signs})
 
     return run
 
