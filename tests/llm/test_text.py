@@ -255,3 +255,19 @@ def test_licenses(spark, awkward, clash_columns):
         assert tuple(r[c] for c in new) == license_brute(r["text"]), r["text"]
     assert "mit" in [r["_labels"] for r in out.where("doc_id = 7").collect()][0]
     assert licenses.license_scan(wide.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software",
+    "bsd-3": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "gpl-3": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+}
+
+
+def test_licenses_of_wrapped_headers(spark):
+    far = " ".join(w + " filler" * 9 for w in licenses.TEMPLATES["bsd-3"][0].split()).replace("and", "\n")  # its words, but no passage
+    rows = [(i, "int x;\n\n" + t + "\n\nint y;") for i, t in enumerate(WRAPPED.values())] + [(i + 10, "\n".join(t.split())) for i, t in enumerate(WRAPPED.values())] + [(20, far)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert got[i] == got[i + 10] == ([label], 1.0)
+    assert got[20] == ([], 0.0)

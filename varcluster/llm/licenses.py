@@ -1,13 +1,16 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block (a line) and a license template are sets of words. A block meets a template if it holds at least
-THRESHOLD of the template's distinct words. Words are ordered by how many documents hold them, rarest first:
+A text block and a license template are sets of words. A block is a line, or a passage: as many consecutive words as
+the template has, divided by THRESHOLD, over line ends too, so that a header wrapped at any width is met. A block meets
+a template if it holds at least THRESHOLD of the template's distinct words. (The SQL of the query compares lines alone;
+its labels are among these.) Words are ordered by how many documents hold them, rarest first:
 - prefix filter: with `need` common words asked for, a block that meets a template of n words holds one of its
   first n - need + 1 words;
 - length filter: the block has `need` distinct words at least;
 - positional filter: if the first word they share stands at place p of the template (from 0), at most n - p words can
   be common, and within the block, at place q of its own order, no more than its words from q on;
-so only blocks that pass all three are compared in full. No block that meets the threshold is lost.
+so only lines that pass all three are compared in full. Passages are compared in documents that hold enough words of the
+template at all, and begin at each of its words. No block that meets the threshold is lost.
 
 Templates are a fixed list (or a parameter of bounded size, checked), so their words are literals of the plan and the
 frequencies of these words alone come to the driver. The text is read twice and never shuffled: one pass counts, with
@@ -120,8 +123,10 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, l
     template's words that a block holds (1 for a stated phrase; 0 without any label)."""
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    sets = [(label, sorted(set(python_words(t)))) for label, texts in templates.items() for t in texts]
-    sets = [(label, words) for label, words in sets if words]
+    lists = [(label, python_words(t)) for label, texts in templates.items() for t in texts]
+    lists = [(label, words) for label, words in lists if words]
+    sets = [(label, sorted(set(words))) for label, words in lists]
+    lengths = [math.ceil(len(words) / threshold - 1e-9) for _, words in lists]  # of passages
     known = sorted({w for _, words in sets for w in words})
     if not known:
         raise ValueError("no template has a word")
@@ -162,7 +167,25 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, l
     def verdict(block: Column) -> Column:
         return F.array(*[F.struct(F.lit(label).alias("label"), share(block, words, need).alias("share")) for (label, words), need in zip(ordered, needs)])
 
-    hits = F.filter(F.flatten(F.transform(ranked, verdict)), lambda h: h["share"].isNotNull())
+    def passage_share(every: Column, words: list[str], need: int, length: int) -> Column:
+        """The largest share that `length` consecutive words hold; every: the words of the text."""
+        own = F.array(*map(F.lit, words))
+        placed = F.filter(F.transform(every, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda p: p["w"].isin(words))
+
+        def held(mine: Column, k: Column) -> Column:
+            near = F.filter(F.slice(mine, k, length), lambda p: p["at"] < F.element_at(mine, k)["at"] + length)
+            return F.size(F.array_distinct(F.transform(near, lambda p: p["w"])))
+
+        # an array of one binds it, else it would be found again for each k
+        most = F.element_at(F.transform(F.array(placed), lambda mine: F.array_max(F.transform(F.sequence(F.lit(1), F.size(mine)), lambda k: held(mine, k)))), 1)
+        share = F.when(F.size(F.array_intersect(every, own)) >= need, most) / F.lit(float(len(words)))
+        return F.when(share >= need / len(words) - 1e-9, share)
+
+    def passages(every: Column) -> Column:
+        return F.array(*[F.struct(F.lit(label).alias("label"), passage_share(every, words, need, length).alias("share")) for (label, words), need, length in zip(ordered, needs, lengths)])
+
+    both = F.concat(F.flatten(F.transform(ranked, verdict)), F.flatten(F.transform(F.array(words_of(lowered(text))), passages)))
+    hits = F.filter(both, lambda h: h["share"].isNotNull())
     words, got = free_name(docs, "words"), free_name(docs, "hits")
     ends = lambda at: F.element_at(words, at) == ""
     n_words = F.size(words) - ends(1).cast("int") - (ends(-1) & (F.size(words) > 1)).cast("int")
