@@ -136,6 +136,19 @@ def test_blocks():
     assert html_extract.blocks_of("<p>open <b>text")[1] == [("open text", True)]
 
 
+def test_marks_never_take_an_article():
+    inside = lambda body: html_extract.blocks_of(page(body)[1])[0]
+    for start, end in (
+        ("<article class='post comments-open'>", "</article>"), ("<article class='entry share-enabled'>", "</article>"), ("<div class='content has-sidebar'><article>", "</article></div>"),
+        ("<main id='search-results'>", "</main>"), ("<article><div class='related-work'>", "</div></article>"), ("<form id='page'><main>", "</main></form>"), ("<div class='widget'><article>", "</article></div>"),
+        ("<div role='main'><div>", "</div></div>"), ("<section class='sidebar'><div role=main>", "</div></section>"), ("<div class='ad' role='main'>", "</div>"), ("<article data-id='ad'>", "</article>"),
+    ):
+        assert inside(f"{start}<p>Text</p>{end}<p>after</p>") == ["Text"], start
+    for container in ("<div class='ad-slot'>", "<div id='cookie-notice'>", "<div class='x sidebar'>", "<div role='navigation'>", "<div class='ad-1'>", "<div class='comments-area'><article>"):
+        assert inside(f"<article><p>Text</p>{container}<p>No</p>{'</article>' * container.count('<article')}</div></article>") == ["Text"], container
+    assert inside("<main><p>Text</p></main><aside><article>Teaser</article></aside><div class='comments'><article>Reply</article></div>") == ["Text"]
+
+
 def test_extraction(spark):
     menu, foot = "Share this page with all of your friends today please", "Copyright by the people who made this very long line here"
     rows = [(i, *page(f"<div>{menu}</div><p>page number {i} says a{i} b{i}</p><div>{foot}</div>", f"http://h.example/{i}")) for i in range(6)]

@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags, and each block is inside an article (article, main, role=main), inside a
 marked container (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role, class or id), or
-neither. Where a page has an article, its text is the article without marked containers: passages that pages share,
+neither. Names mark as whole words or in known compounds. Articles are never marked, nor are elements that enclose one,
+save asides, menus and comments (or what stands inside an article), of which only those that enclose a main are not.
+Where a page has an article, its text is the article without marked containers: passages that pages share,
 and whole copies of articles, are text there and stay. Where a page has none, its unmarked blocks are judged by what
 the host repeats.
 
@@ -42,6 +44,14 @@ MARKED_TAGS = frozenset("aside button dialog footer form head header iframe menu
 MARKED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A class, id or role marks if it is one of these words, ends in a hyphen and one of MARKED_ENDS (cookie-notice), or is one
+#: of them, a hyphen and one of HOLDERS (ad-slot); not if it begins with one of STATES (has-sidebar).
+MARKED_ENDS = frozenset("ad ads advert adverts banner breadcrumb breadcrumbs comments disqus footer masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo sidebar toolbar widget".split())
+HOLDERS = frozenset("area bar block box button buttons container form holder inner item items left link links list overlay panel primary respond right secondary section slot unit wrap wrapper zone".split())
+STATES = frozenset("has hide is no non not show single with without".split())
+#: Of containers that enclose an article, those stay marked that hold others than the page's.
+ASIDE_TAGS = frozenset("aside dialog footer iframe menu nav noscript object svg template".split())
+REPLY_WORDS = frozenset("comment comments disqus replies reply".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 RAW_TAGS = ("script", "style")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +59,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 OPEN_TAGS = frozenset("p li dt dd option td th tr".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?\s*main\b(?!-)", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -59,8 +70,54 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _words_of(attributes: str) -> set[str]:
-    return {w for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower()) if w}
+def _marks(attributes: str) -> set[str]:
+    """The marked words that the class, id and roles of an element are made of."""
+    found = set()
+    for m in _MARK.finditer(attributes):
+        for token in m[1].lower().strip("\"'").split():
+            parts = [w for w in re.split(r"[^a-z]+", token) if w]
+            if not parts or len(parts) > 1 and parts[0] in STATES:
+                continue
+            if len(parts) == 1 and parts[0] in MARKED_WORDS or len(parts) > 1 and parts[-1] in MARKED_ENDS:
+                found.add(parts[-1])
+            elif len(parts) > 1 and parts[0] in MARKED_WORDS and all(w in HOLDERS for w in parts[1:]):
+                found.add(parts[0])
+    return found
+
+
+def _opens_article(name: str, attributes: str) -> bool:
+    return name in ARTICLE_TAGS or bool(attributes) and _MAIN.search(attributes) is not None
+
+
+def _enclosing(tokens: list[re.Match]) -> tuple[set[int], set[int]]:
+    """The numbers of the tokens that open an element with an article or main inside, and of those with a main."""
+    stack: list[tuple[str, int]] = []
+    often: dict[str, int] = {}
+    any_, main = set(), set()
+    for k, m in enumerate(tokens):
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if m[2]:
+            while often.get(name):
+                last = stack.pop()[0]
+                often[last] -= 1
+                if last == name:
+                    break
+            continue
+        if name in VOID_TAGS or m[4].endswith("/") and name not in BLOCK_TAGS:
+            continue
+        while stack and stack[-1][0] in OPEN_TAGS and (stack[-1][0] == name or stack[-1][0] == "p" and name in BLOCK_TAGS):
+            often[stack.pop()[0]] -= 1
+        if _opens_article(name, m[4]):
+            for seen in (any_,) if name == "article" else (any_, main):
+                for _, at in reversed(stack):
+                    if at in seen:
+                        break  # and all that enclose it
+                    seen.add(at)
+        stack.append((name, k))
+        often[name] = often.get(name, 0) + 1
+    return any_, main
 
 
 def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
@@ -69,20 +126,22 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
     inside: list[str] = []
     outside: list[tuple[str, bool]] = []
     parts: list[str] = []
-    article = skip = 0  # how many are open
-    skip_tag, at = "", 0
+    articles: list[list] = []  # the open ones: tag, and how many of that tag are open since
+    skip, skip_tag, at = 0, "", 0
+    tokens = list(_TOKEN.finditer(page))
+    around, around_main = _enclosing(tokens)
 
     def close() -> None:
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                if article and not skip:
+                if articles and not skip:
                     inside.append(text)
                 else:
                     outside.append((text, not skip))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
+    for k, m in enumerate(tokens):
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -99,8 +158,14 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
                 close()
             if skip and name == skip_tag:
                 skip -= 1
-            elif name in ARTICLE_TAGS and article and not skip:
-                article -= 1
+            elif not skip:
+                for i in range(len(articles) - 1, -1, -1):
+                    if articles[i][0] == name:
+                        articles[i][1] -= 1
+                        if not articles[i][1]:
+                            close()
+                            del articles[i:]
+                        break
             continue
         attributes = m[4]
         if block or marked:
@@ -112,13 +177,21 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
         if skip:
             skip += name == skip_tag
             continue
-        words = _words_of(attributes) if attributes else ()
-        if marked or (words and not MARKED_WORDS.isdisjoint(words) and name not in ("html", "body")):
+        opens = _opens_article(name, attributes)
+        words = _marks(attributes) if attributes and not opens and name not in ("html", "body") else ()
+        if k in around_main or k in around and not articles and name not in ASIDE_TAGS and REPLY_WORDS.isdisjoint(words):
+            marked, words = False, ()  # a wrapper of the page or of its article
+        if marked and not opens or words:
             close()
             skip, skip_tag = 1, name
-        elif name in ARTICLE_TAGS or (words and "main" in words and 'role' in attributes.lower()):
-            if name in ARTICLE_TAGS:
-                article += 1
+        elif opens:
+            close()
+            articles.append([name, 1])
+        else:
+            for a in reversed(articles):
+                if a[0] == name:
+                    a[1] += 1
+                    break
     if at < len(page):
         parts.append(page[at:])
     close()
