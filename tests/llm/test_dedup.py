@@ -31,6 +31,23 @@ def test_substring_dedup_of_repeated_and_odd_rows(spark, awkward, clash_columns)
     assert out.columns[: len(wide.columns)] == wide.columns and out.first()["_kept_text"] == "a b"
 
 
+def test_a_hot_minimiser_is_spread_over_buckets(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "BUCKET_BYTES", 20_000)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"served in 17 ms by host {rng.randrange(10**6)}" for _ in range(30))) for i in range(100)]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(210))) for i in range(200)] + [(500 + i, rows[i][1] + " end") for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert dedup(df) == sorted(S.brute_force(rows), key=str)
+    held: dict[int, int] = {}
+    for r in S.packed_windows(df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("key"), "text")).where("kind = 0").collect():
+        held[r["bucket"]] = held.get(r["bucket"], 0) + len(S._unpack(r["data"])[0])
+    assert max(held.values()) < 0.03 * sum(held.values())
+
+
 def test_windows_of_one_hash_are_told_apart():
     import numpy as np
 

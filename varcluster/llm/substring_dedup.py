@@ -9,7 +9,12 @@ of its other windows are ranges to remove. Ranges go back to their documents by
 Before strings travel, a map task keeps each distinct string once, with its smallest doc_id: further local documents
 with that string are already known to lose its words. So a passage that a third of all documents share reaches its
 bucket once a task, not once a document. Strings of one bucket are compressed together. Map tasks flush at a fixed
-number of bytes, and buckets are as many as a multiple of spark.sql.shuffle.partitions, so memory stays bounded.
+number of bytes.
+
+A pass before that counts the bytes of super-k-mers in CELLS cells of minimisers, with map-side sums. Buckets are as many
+as BUCKET_BYTES asks for, and a multiple of spark.sql.shuffle.partitions at least. Where a cell alone would fill a
+bucket (lines of one template, with distinct words around it), its windows travel one by one to the bucket of their own
+hash, which equal windows share; so no bucket grows with one minimiser, whatever its share of the corpus.
 
 Nulls and edge cases: a null text has no words; a row whose doc_id is null takes no part and keeps all its words;
 documents of fewer than 13 words keep them all; rows with equal doc_id never remove each other's words, however often
@@ -37,6 +42,9 @@ GRAM = 3
 #: Words are hashed in blocks of so many bytes of text, and packed strings leave a map task at so many bytes.
 BLOCK_BYTES = 2 << 20
 FLUSH_BYTES = 32 << 20
+#: Minimisers are counted in so many cells; strings of so many bytes make a bucket.
+CELLS = 1 << 14
+BUCKET_BYTES = 4 << 20
 
 
 def _pack(strings: list[bytes], owners: np.ndarray, keys: np.ndarray, firsts: np.ndarray) -> bytes:
@@ -57,11 +65,27 @@ def _unpack(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return raw[at + 16 * n :], owners, keys, firsts
 
 
+def _cell(minimiser: np.ndarray) -> np.ndarray:
+    return (mix(minimiser ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _super_kmers(words: Words, window: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimiser of each window, and the first and last windows of super-k-mers; windows of hot cells stand alone."""
+    n = len(words) - window + 1
+    gram = min(GRAM, window)
+    grams = words.hashes(words.starts[: len(words) - gram + 1], words.ends[gram - 1 :])
+    least = sliding_min(grams, window - gram + 1)
+    inside = words.doc[:n] == words.doc[window - 1 :]
+    alone = hot[_cell(least)] if hot is not None and hot.any() else np.zeros(n, bool)
+    new = (least[1:] != least[:-1]) | (words.doc[1:n] != words.doc[: n - 1]) | alone[1:]
+    return least, np.flatnonzero(inside & np.concatenate([[True], new])), np.flatnonzero(inside & np.concatenate([new | ~inside[1:], [True]]))
+
+
 class _Sender:
     """Collects the super-k-mers of a map task."""
 
-    def __init__(self, buckets: int, window: int):
-        self.buckets, self.window = buckets, window
+    def __init__(self, buckets: int, window: int, hot: np.ndarray):
+        self.buckets, self.window, self.hot = buckets, window, hot
         self.clear()
 
     def clear(self) -> None:
@@ -70,17 +94,12 @@ class _Sender:
 
     def add(self, ids: list[int], keys: list[int], docs: list[bytes]) -> None:
         words = Words(docs)
-        n = len(words) - self.window + 1
-        gram = min(GRAM, self.window)
-        grams = words.hashes(words.starts[: len(words) - gram + 1], words.ends[gram - 1 :])
-        least = sliding_min(grams, self.window - gram + 1)
-        inside = words.doc[:n] == words.doc[self.window - 1 :]
-        first = np.flatnonzero(inside & np.concatenate([[True], (least[1:] != least[:-1]) | (words.doc[1:n] != words.doc[: n - 1])]))
-        ends_run = np.flatnonzero(inside & np.concatenate([(least[1:] != least[:-1]) | (words.doc[1:n] != words.doc[: n - 1]) | ~inside[1:], [True]]))
+        least, first, ends_run = _super_kmers(words, self.window, self.hot)
+        own = np.where(self.hot[_cell(least[first])], words.hashes(words.starts[first], words.ends[first + self.window - 1]), least[first])
         base = words.first_words()
         doc = words.doc[first]
         data, known = words.data, self.strings
-        rows = zip(words.starts[first].tolist(), words.ends[ends_run + self.window - 1].tolist(), (mix(least[first]) % np.uint64(self.buckets)).tolist(), doc.tolist(), (first - base[doc]).tolist(), (ends_run - first).tolist())
+        rows = zip(words.starts[first].tolist(), words.ends[ends_run + self.window - 1].tolist(), (mix(own) % np.uint64(self.buckets)).tolist(), doc.tolist(), (first - base[doc]).tolist(), (ends_run - first).tolist())
         for s, e, bucket, d, at, more in rows:
             text = data[s:e]
             seen = known.get(text)
@@ -90,7 +109,11 @@ class _Sender:
             elif seen[1] == ids[d]:
                 seen += (keys[d], at)
             elif seen[1] < ids[d]:
-                self.local.append((ids[d], keys[d], at, at + more + self.window))
+                i, k, a, b = self.local[-1] if self.local else (None, None, 0, 0)
+                if (i, k) == (ids[d], keys[d]) and a <= at <= b:  # windows that stand alone follow each other
+                    self.local[-1] = (i, k, a, max(b, at + more + self.window))
+                else:
+                    self.local.append((ids[d], keys[d], at, at + more + self.window))
             else:
                 self.local += [(seen[1], seen[i], seen[i + 1], seen[i + 1] + more + self.window) for i in range(2, len(seen), 2)]
                 known[text] = [bucket, ids[d], keys[d], at]
@@ -110,24 +133,44 @@ class _Sender:
             yield int(out[0, 0] % self.buckets), 1, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(out.T).tobytes())
 
 
-def _send(buckets: int, window: int):
+def _blocks(batch: pd.DataFrame, window: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Ids, keys and words of documents that have a window, BLOCK_BYTES at a time."""
+    ids, keys, docs, size = [], [], [], 0
+    for i, k, text in zip(batch["id"].tolist(), batch["key"].tolist(), batch["text"]):
+        doc = canonical(text)
+        if doc.count(b" ") + 1 >= window:
+            ids.append(i), keys.append(k), docs.append(doc)
+            size += len(doc)
+        if size >= BLOCK_BYTES:
+            yield ids, keys, docs
+            ids, keys, docs, size = [], [], [], 0
+    if docs:
+        yield ids, keys, docs
+
+
+def _weigh(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sender = _Sender(buckets, window)
+        total = np.zeros(CELLS)
+        for batch in batches:
+            for _, _, docs in _blocks(batch, window):
+                words = Words(docs)
+                least, first, last = _super_kmers(words, window)
+                total += np.bincount(_cell(least[first]), words.ends[last + window - 1] - words.starts[first], CELLS)
+        cells = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cells, "bytes": total[cells].astype(np.int64)})
+
+    return run
+
+
+def _send(buckets: int, window: int, hot: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sender = _Sender(buckets, window, hot)
         frame = lambda rows: pd.DataFrame(rows, columns=["bucket", "kind", "data"])
         for batch in batches:
-            ids, keys, docs, size = [], [], [], 0
-            for i, k, text in zip(batch["id"].tolist(), batch["key"].tolist(), batch["text"]):
-                doc = canonical(text)
-                if doc.count(b" ") + 1 >= window:
-                    ids.append(i), keys.append(k), docs.append(doc)
-                    size += len(doc)
-                if size >= BLOCK_BYTES:
-                    sender.add(ids, keys, docs)
-                    ids, keys, docs, size = [], [], [], 0
+            for block in _blocks(batch, window):
+                sender.add(*block)
                 if sender.bytes >= FLUSH_BYTES:
                     yield frame(list(sender.flush()))
-            if docs:
-                sender.add(ids, keys, docs)
         if sender.strings:
             yield frame(list(sender.flush()))
 
@@ -216,13 +259,22 @@ def _apply(text_at: str, spans_at: str, names: list[str]):
     return run
 
 
+def packed_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(bucket, kind, data) of rows (id, key, text)."""
+    weight = np.zeros(CELLS)
+    for r in rows.mapInPandas(_weigh(window), "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect():
+        weight[r["cell"]] = r["bytes"]
+    hot = weight > max(BUCKET_BYTES, 4 * weight.mean())  # from 16 GB of strings on, all cells are large
+    # a window that travels alone has all its words, of which a super-k-mer of many windows has each once
+    most = weight[~hot].sum() + window * weight[hot].sum()
+    buckets = max(4 * shuffle_partitions(rows.sparkSession), -int(-most // BUCKET_BYTES))
+    return rows.mapInPandas(_send(buckets, window, hot), "bucket long, kind int, data binary")
+
+
 def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, key, spans): for each document that loses words, ranges of word numbers as start << 32 | end."""
-    spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    sent = rows.mapInPandas(_send(buckets, window), "bucket long, kind int, data binary")
-    found = sent.groupBy("bucket").applyInPandas(_count(window), "id long, key long, span long")
+    found = packed_windows(rows, window).groupBy("bucket").applyInPandas(_count(window), "id long, key long, span long")
     return found.groupBy("id", "key").agg(F.collect_list("span").alias("spans"))
 
 
