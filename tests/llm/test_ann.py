@@ -36,3 +36,17 @@ def test_odd_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("id") % 20 == 0).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, 0.5)]
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def test_copies_take_one_place_of_the_shortlist(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=8)
+    hot /= np.linalg.norm(hot)
+    # the copies are nearest to query 0 but for three vectors that are nearer still
+    near = [(2000 + i, (hot * (1.2 + i / 10)).tolist()) for i in range(3)]
+    rows = [(i, hot.tolist()) for i in range(1000)] + near + [(3000 + i, (rng.normal(size=8) * 0.1).tolist()) for i in range(100)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<double>").repartition(4)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("id").isin(0, 500, 3000), shortlist=30).collect())
+    assert [v for q, _, v in got if q == 0] == [2002, 2001, 2000, *range(1, 18)]
+    assert [v for q, _, v in got if q == 500] == [2002, 2001, 2000, *range(17)]
+    assert len([v for q, _, v in got if q == 3000]) == 20

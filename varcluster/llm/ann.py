@@ -12,6 +12,10 @@ dealt into blocks by a hash, and each pair of blocks is one group with a bounded
 row per query with its best SHORTLIST codes. The shortlist fetches its vectors by a join, and nothing whole passes one
 task or the driver.
 
+Equal vectors are one class, of its smallest id; classes are coded and searched, so that copies take one place of a
+shortlist. The k + 1 best classes of a query are then expanded to their k + 1 smallest ids each, which is all of them
+that can be returned.
+
 Nulls and edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 null ids or vectors whose length is not the commonest one; rows that repeat an id count once, by their first vector in
 order; ties go to the smaller id; if there are fewer candidates than asked for, all are returned; an empty table gives
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,8 +129,7 @@ def _search(model: Codebooks, shortlist: int):
                 score *= ratio
                 keep = min(shortlist + 1, len(score))
                 best = np.argpartition(-score, keep - 1)[:keep]
-                best = best[ids[best] != own]
-                best = best[np.argsort(-score[best], kind="stable")][:shortlist]
+                best = best[np.argsort(-score[best], kind="stable")]
                 out.append((own, ids[best], score[best].astype(float)))
         return pd.DataFrame({"query_id": pd.Series([r[0] for r in out], dtype=np.int64), "vec_ids": pd.Series([r[1] for r in out], dtype=object), "estimates": pd.Series([r[2] for r in out], dtype=object)})
 
@@ -143,8 +146,12 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     if not lengths:
         return spark.createDataFrame([], result)
     rows = materialise(rows.where(F.size("vector") == lengths[0]["dim"]), "vectors")
-    total = lengths[0]["count"]
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAINING).select("vector").toPandas()
+    same = Window.partitionBy("vector")
+    members = rows.withColumn("at", F.row_number().over(same.orderBy("id"))).where(F.col("at") <= k + 1)
+    members = materialise(members.withColumn("class", F.min("id").over(same)), "vector-classes")
+    classes = members.where("at = 1").select("id", "vector")
+    total = classes.count()
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAINING).select("vector").toPandas()
     model = fit(np.array(sample["vector"].tolist(), float))
 
     asked = rows.where(queries)
@@ -152,16 +159,18 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     query_blocks, code_blocks = -(-n_queries // QUERY_BLOCK), -(-total // CODE_BLOCK)
     number = lambda n: F.sequence(F.lit(0), F.lit(max(1, n) - 1))
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(max(1, n))).cast("int")
-    codes = rows.mapInPandas(_code_blocks(model), "id long, code binary, ratio double").withColumn("c", of(code_blocks)).withColumn("q", F.explode(number(query_blocks)))
+    codes = classes.mapInPandas(_code_blocks(model), "id long, code binary, ratio double").withColumn("c", of(code_blocks)).withColumn("q", F.explode(number(query_blocks)))
     blocks = asked.withColumn("q", of(query_blocks)).withColumn("c", F.explode(number(code_blocks)))
     found = blocks.groupBy("q", "c").cogroup(codes.groupBy("q", "c")).applyInPandas(_search(model, shortlist), "query_id long, vec_ids array<long>, estimates array<double>")
     pairs = F.zip_with("estimates", "vec_ids", lambda e, v: F.struct(e.alias("estimate"), (-v).alias("minus")))
-    short = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs)), asc=False), 1, shortlist).alias("short")).select("query_id", F.explode("short").alias("s")).select("query_id", (-F.col("s.minus")).alias("vec_id"))
-    with_vectors = short.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("other")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("own")), "query_id")
+    short = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs)), asc=False), 1, shortlist + 1).alias("short")).select("query_id", F.explode("short").alias("s")).select("query_id", (-F.col("s.minus")).alias("vec_id"))
+    with_vectors = short.join(classes.select(F.col("id").alias("vec_id"), F.col("vector").alias("other")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("own")), "query_id")
     product = F.aggregate(F.zip_with("own", "other", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = with_vectors.select("query_id", "vec_id", product.alias("score"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id")))), 1, k)
-    ranked = scored.groupBy("query_id").agg(top.alias("top")).select("query_id", F.posexplode("top").alias("at", "t"))
+    first = lambda n: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id")))), 1, n).alias("top")
+    best = scored.groupBy("query_id").agg(first(k + 1)).select("query_id", F.explode("top").alias("t")).select("query_id", F.col("t.vec_id").alias("class"), (-F.col("t.minus")).alias("score"))
+    every = best.join(members.select("class", F.col("id").alias("vec_id")), "class").where("vec_id <> query_id")
+    ranked = every.groupBy("query_id").agg(first(k)).select("query_id", F.posexplode("top").alias("at", "t"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))
 
 
