@@ -70,6 +70,59 @@ def test_jaccard_join_of_odd_rows(spark):
     assert sorted(map(tuple, J.jaccard_join(wide).collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
 
 
+def test_an_id_with_several_texts_keeps_every_link(spark):
+    rows = [(1, "x a b c d e"), (1, "y a b c d f g"), (2, "x a b c d e"), (3, "y a b c d f g"), (4, "y a b c d f g h"), (4, None), (2, "z")]
+    got = J.jaccard_join(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, got.collect())) == sorted(J.brute_force(rows)) and (2, 1, 1) in map(tuple, got.collect())
+    keyed = J.jaccard_join(spark.createDataFrame(rows, SCHEMA), keyed=True)
+    assert len({(r["doc_id"], r["text_key"]) for r in keyed.collect()}) == len(rows)
+
+
+def test_chains_of_weak_links_are_compared_in_bands(spark, monkeypatch):
+    """Texts that share much run together into one component; large bands become cores."""
+    import random
+
+    monkeypatch.setattr(J, "CHUNK", 6)
+    rng = random.Random(9)
+    rows, words = [], [f"w{rng.randrange(500)}" for _ in range(60)]
+    for i in range(80):
+        rows.append((i, " ".join(words)))
+        for _ in range(1 + i % 2):
+            words[rng.randrange(60)] = f"y{rng.randrange(500)}"
+    base = [f"v{rng.randrange(500)}" for _ in range(120)]
+    for i in range(100, 130):
+        rows.append((i, " ".join([*base[: rng.randrange(120)], f"z{i % 9}", *base[60:]])))
+    assert sorted(map(tuple, J.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(J.brute_force(rows))
+
+
+def test_pieces_hold_every_run_once():
+    import random
+
+    from varcluster.llm.common import canonical, pieces
+
+    rng = random.Random(2)
+    assert [canonical(t) for t in (None, "", " \t ", "a  b\n\nc ", "é x\x1cy")] == [b"", b"", b"", b"a b c", "é x\x1cy".encode()]
+    for width in (1, 2, 5, 13):
+        for limit in (1, 7, 40, 300):
+            doc = b" ".join(b"w" * rng.randrange(1, 9) + str(i).encode() for i in range(60))
+            words, runs = doc.split(), []
+            for number, piece in pieces(doc, width, limit):
+                own = piece.split()
+                assert own == words[number : number + len(own)]
+                runs += range(number, number + len(own) - width + 1)
+            assert runs == list(range(60 - width + 1))
+
+
+def test_long_texts_in_pieces(spark, awkward, monkeypatch):
+    from varcluster.llm import common
+
+    monkeypatch.setattr(common, "PIECE_BYTES", 300)
+    texts = [t for _, t in awkward]
+    cut = J.shingle_sets(texts)
+    monkeypatch.undo()
+    assert all((a == b).all() for a, b in zip(cut, J.shingle_sets(texts), strict=True))
+
+
 def test_bands_reach_the_recall():
     bands = J.bands_for(0.8, J.ROWS, J.RECALL)
     assert 1 - (1 - 0.8**J.ROWS) ** bands >= J.RECALL > 1 - (1 - 0.8**J.ROWS) ** (bands - 1)

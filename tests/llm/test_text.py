@@ -28,11 +28,11 @@ def test_bpe_equals_the_library(files, awkward):
         ids = t.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids and own.decode(ids) == t.decode(ids, skip_special_tokens=False)
     own.pieces.clear()
-    bpe.PIECES, before = 3, bpe.PIECES
+    bpe.PIECES_BYTES, before = 1000, bpe.PIECES_BYTES
     try:
         assert own.encode("one two three four five six") == t.encode("one two three four five six", add_special_tokens=False).ids
     finally:
-        bpe.PIECES = before
+        bpe.PIECES_BYTES = before
 
 
 def test_patterns_agree_on_every_code_point(files):
@@ -233,6 +233,45 @@ def test_secrets(spark, awkward, clash_columns):
     assert secrets.secret_scan(df.limit(0)).count() == 0
 
 
+def test_ownership_decides_what_is_reported(spark):
+    """The same key in upper case is live with one owner, an example with three, or with many repositories of one."""
+    key = lambda c: c * 3 + "90B4F1D72EC8A653" * 2
+    rows = [(1, f"x {key('A')}", "en", "o1"), (2, f"{key('A')}", "en", "o1")]
+    rows += [(10 + i, f"x {key('B')}", "en", f"o{i}") for i in range(3)] + [(20, key("B").lower(), "en", "o9")]
+    rows += [(30 + i, f"x {key('C')}", f"l{i}", "o1") for i in range(6)] + [(40 + i, f"x {key('D')}", f"l{i}", "o1") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in secrets.secret_scan(df).withColumn("s", secrets.spelled(secrets.F.col("secret_spans"))).collect()}
+    assert got[1]["s"] == "upper:2:37" and got[2]["s"] == "upper:0:35" and (got[1]["n_live"], got[1]["n_example"]) == (1, 0)
+    assert all(got[10 + i]["s"] == "" and got[10 + i]["n_example"] == 1 for i in range(3)) and got[20]["s"] == "hex:0:35"
+    assert all(got[30 + i]["s"] == "" for i in range(6)) and all(got[40 + i]["s"] == "upper:2:37" for i in range(5))
+
+
+def test_secrets_are_not_written(spark):
+    import glob
+
+    df = spark.createDataFrame([(1, "password = hunter2hunter", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert secrets.secret_scan(df, keep=["doc_id"]).count() == 1
+    for f in glob.glob(spark.conf.get("spark.checkpoint.dir") + "/secret-*/*.parquet"):
+        assert b"hunter2hunter" not in open(f, "rb").read() or "keep" in f
+
+
+def test_very_many_matches_take_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(n):
+        df = spark.createDataFrame([(1, " ".join(f"token=abcdefgh{i:08d} é" for i in range(n)), "en", "s")], "doc_id long, text string, lang string, source string")
+        out = secrets.secret_scan(df)
+        start = time.time()
+        r = out.select(F.size("secret_spans"), F.try_element_at("secret_spans", F.lit(-1))["end"], F.length("text"), F.regexp_count(secrets.redacted(F.col("text"), F.col("secret_spans")), F.lit(r"\[secret\] é"))).first()
+        assert r[0] == n and r[1] == r[2] - 2 and r[3] == n
+        return time.time() - start
+
+    took(10)
+    assert took(100_000) < 60
+
+
 PAGES = ["Under  the MIT-License, under the mit license", "under the mit licensed", "Apache License, Version 2.0", "cc-by-nc x CC BY\nNC", "xunder the mit license", "éunder the mit license", "", "a\nPermission is hereby granted, free of charge, to any person obtaining a copy of the software and associated documentation files!\nb", "Permission is granted to any person"]
 
 

@@ -1,7 +1,7 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
 Text is cut into pieces as the tokenizer file says (a pattern, after special tokens are set apart), and each distinct
-piece is encoded once a worker. For every prefix of a piece exactly one token can be the last of its encoding: an
+piece is encoded once a task. For every prefix of a piece exactly one token can be the last of its encoding: an
 automaton of all tokens gives those that end there, and of these the last token is the one that starts the prefix or
 that is compatible with the last token of the prefix before it. Two tokens are compatible if the merges, run on the
 two together, leave them as they are. Back-pointers from the whole piece then give the exact ids, without running the
@@ -9,7 +9,7 @@ merges on it. Whole documents stay in their partition: nothing shuffles.
 
 Nulls and edge cases: a null or empty text has no ids and decodes to the empty text; a null doc_id passes through;
 repeated rows give repeated rows; very long texts are cut piece by piece; the caches of pieces and pairs are cleared at
-a fixed size, so memory is bounded; an empty table gives an empty result; further columns pass through the operators.
+a fixed number of bytes and at the end of a task, so memory is bounded; an empty table gives an empty result; further columns pass through the operators.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, released, table
 
-#: Pieces of text, and pairs of tokens, that a worker remembers before it starts anew.
-PIECES, PAIRS = 600_000, 1_000_000
+#: Bytes of pieces of text with their ids, and of pairs of tokens, that a task remembers before it starts anew, and what
+#: one of each takes in Python.
+PIECES_BYTES, PAIRS_BYTES = 128 << 20, 48 << 20
+PIECE_COST, PAIR_COST = 260, 240
 #: The pattern of byte-level BPE; a fixed value of the format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the pattern is run by the standard library, with its classes written out.
@@ -88,6 +90,7 @@ class PrefixBpe:
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.held = 0
 
     def merged(self, letters: str) -> list[str]:
         """The merges, run one by one: least rank first, leftmost first."""
@@ -102,7 +105,7 @@ class PrefixBpe:
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) * PAIR_COST >= PAIRS_BYTES:
                 self.pairs.clear()
             x, y = self.spelling[a], self.spelling[b]
             known = self.pairs[a, b] = self.merged(x + y) == [x, y]
@@ -129,9 +132,11 @@ class PrefixBpe:
         parts = (self.any_text if self.beyond.search(text) else self.latin_text).findall(text)
         new = set(parts).difference(known)
         if new:
-            if len(known) + len(new) > PIECES:
+            cost = 9 * sum(map(len, new)) + PIECE_COST * len(new)
+            if self.held + cost > PIECES_BYTES:
                 known.clear()
-                new = set(parts)
+                self.held, new = 0, set(parts)
+            self.held += cost
             for p in new:
                 known[p] = self.encode_piece(p)
         out = list(chain.from_iterable([known[p] for p in parts]))
@@ -158,12 +163,16 @@ _loaded: dict[str, PrefixBpe] = {}
 
 
 def load(path: str) -> PrefixBpe:
-    """One encoder a worker and file."""
+    """One encoder a task and file."""
     if path not in _loaded:
         _loaded[path] = PrefixBpe(path)
     return _loaded[path]
 
 
+def forget() -> None:
+    _loaded.clear()
+
+
 def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """docs with ids, an array of int. tokenizer_path: a file that every executor has."""
     name = free_name(docs, "ids")
@@ -173,7 +182,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
         for batch in batches:
             yield batch.assign(**{name: [bpe.encode(t) for t in batch[text_col]]})
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInPandas(released(run, forget), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def bpe_decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -185,7 +194,7 @@ def bpe_decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Da
         for batch in batches:
             yield batch.assign(**{name: ["" if ids is None else bpe.decode(ids) for ids in batch[ids_col]]})
 
-    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
+    return rows.mapInPandas(released(run, forget), T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +212,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                 text_digests.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenizer_file(name: str) -> str:

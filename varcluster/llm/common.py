@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written as materialise
 
-__all__ = ["Words", "canonical", "free_name", "materialise", "mix", "shuffle_partitions", "sliding_min", "table", "text_key"]
+__all__ = ["Words", "canonical", "free_name", "hot_join", "materialise", "mix", "pieces", "released", "shuffle_partitions", "sliding_min", "table", "text_key"]
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,7 +23,12 @@ WORD_RE = re.compile(WORD)
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Powers of the hash that a worker keeps; longer runs of bytes make their own and drop them.
+POWERS = 3 << 19
 _powers: list[np.ndarray] = []
+#: Words of a very long text are looked at so many bytes at a time.
+PIECE_BYTES = 1 << 19
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +47,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: A key is hot if it holds more than one row in so many: there are no more hot keys than that.
+HOT = 1_000
+
+
+def hot_join(rows: DataFrame, found: DataFrame, on: str, often: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with found, which has one row per value of `on` and, in `often`, how many rows hold it. Hot values, which
+    are few by their definition, are broadcast, so that their rows stay where they are; the others meet by a shuffle."""
+    is_hot = F.col(often) * HOT > total
+    hot = F.broadcast(found.where(is_hot).drop(often))
+    rest = rows.join(F.broadcast(found.where(is_hot).select(on)), on, "left_anti").join(found.where(~is_hot).drop(often), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(33))
@@ -48,14 +70,44 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16) * 5 // 4
-        _powers[:] = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers[0], _powers[1]
+    if len(_powers) and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, POWERS), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= POWERS:
+        _powers[:] = made
+    return made[0], made[1]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker waits for its next task with little more than its code."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator], *clears: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that clears what it kept, and gives memory back, when its task ends."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for clear in clears:
+                clear()
+            release()
+
+    return task
 
 
 class Words:
@@ -107,7 +159,36 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 def canonical(text: str | None) -> bytes:
     """The words of a text, one space apart, in UTF-8; lone surrogates, which no UTF-8 file holds, become '?'."""
-    return b" ".join(text.encode("utf-8", "replace").split()) if text else b""
+    if not text:
+        return b""
+    data = text.encode("utf-8", "replace").translate(_SPACES)
+    if b"  " in data:
+        letter = np.frombuffer(data, np.uint8) != 32
+        letter[1:] |= letter[:-1].copy()  # the first space of a run stays
+        data = np.frombuffer(data, np.uint8)[letter].tobytes()
+    return data.strip(b" ")
+
+
+def pieces(doc: bytes, width: int, limit: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(number of the first word, words) of stretches of about `limit` bytes of a canonical text, each of which repeats the
+    last width - 1 words of the one before: every run of `width` words lies in exactly one."""
+    limit, at, number = limit or PIECE_BYTES, 0, 0
+    while len(doc) - at > limit:
+        cut = doc.rfind(b" ", at, at + limit)
+        n = doc.count(b" ", at, cut) + 1 if cut > 0 else 0
+        if n < width:  # words as long as pieces
+            cut, n = at - 1, width
+            for _ in range(width):
+                cut = doc.find(b" ", cut + 1)
+                if cut < 0:
+                    break
+            if cut < 0:
+                break
+        yield number, doc[at:cut]
+        for _ in range(width - 1):
+            cut = doc.rfind(b" ", at, cut)
+        at, number = cut + 1, number + n - width + 1
+    yield number, doc[at:]
 
 
 def text_key(text_col: str) -> "F.Column":

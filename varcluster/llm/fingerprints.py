@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _tables, mix, shuffle_partitions, table
+from .common import _tables, mix, released, shuffle_partitions, table
 
 MIN, NORMAL, MAX = 32, 64, 256
 STRICT, LOOSE = 0xFE000000, 0xF8000000
 #: Texts are cut in blocks of so many characters.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 GEAR = np.random.default_rng(32).integers(0, 1 << 32, 256, np.uint32)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _ITEM = np.dtype([("digest", ">u8"), ("length", ">u2")])
@@ -162,7 +162,7 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and their likeness; see the module."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return with_next(rows).mapInArrow(_fingerprint_rows, SCHEMA)
+    return with_next(rows).mapInArrow(released(_fingerprint_rows), SCHEMA)
 
 
 def op5_document_fingerprints(spark, sf_dir: str) -> DataFrame:

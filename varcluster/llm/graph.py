@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
 
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, root) for every end of links (a, b), two longs: root is the smallest id of the component.
+    """(id, root) for every end of links (a, b), two columns of one type that has an order: root is the least id of the component.
 
     Each round points every node of an edge at the smallest node near it, by the two star operations for MapReduce
     (Kiveris and others, 2014): large-star links larger neighbours to the least neighbour, small-star the smaller ones.
     Both keep components; the edges become stars in a logarithmic number of rounds. A hot node's neighbours are only
-    counted and minimised, which combines before the shuffle, and joined back, which Spark splits when skewed. Each
-    round's edges are written to the shared folder. Null ends and loops count as no link."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u > v").distinct()
+    counted and minimised, which combines before the shuffle; what is found for hot nodes, of which there are few, is
+    broadcast to their edges, so no task holds a hub's. Each round's edges are written to the shared folder. Null ends
+    and loops count as no link."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = materialise(edges, "links")
     before = _sums(edges)
     for _ in range(rounds):
+        total = before[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both.where("v > u"), least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, "u", "n", total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         edges = materialise(small, "links")
         now = _sums(edges)
         if now == before:
@@ -38,4 +40,5 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
 
 def _sums(edges: DataFrame) -> tuple:
     """Three numbers that stay the same once the edges do."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
+    whole = lambda c: F.sum(c.cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count("*"), whole(F.xxhash64("u", "v")), whole(F.xxhash64("v"))).first())

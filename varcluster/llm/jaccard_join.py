@@ -1,23 +1,28 @@
 """N-gram Jaccard join by MinHash banding: links documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. A document becomes the set of its shingles (64-bit hashes of five consecutive words; a shorter document with a word
-   has one shingle, all its words) and a signature of minima. Documents with equal sets form one class of copies;
-   from here on only the class's smallest id travels.
+   has one shingle, all its words) and a signature of minima. Documents with equal sets form one class of copies,
+   named by a 128-bit digest of the set; from here on only the class travels, with the text of its smallest id.
 2. Signatures are cut into bands. Rows and bands are chosen by `bands_for` so that a pair at the threshold shares a
    band with the target probability. Band hashes shuffle; each links its members to its least member, a star instead
    of all pairs. The components of these links hold every candidate pair.
-3. The texts of components are gathered, and every pair in a component is verified on the full sets, by products of
-   incidence matrices. Components of up to CHUNK classes are whole groups, many to a task. Larger ones are cut into
-   chunks ordered by set size; pairs of chunks, less those too unlike in size to link, are separate groups, so one hot
-   group spreads over many tasks. Groups send back a count of links and a local root for each class, never pairs.
+3. Pairs are verified on the full sets, by products of incidence matrices, in groups that know their size beforehand:
+   - a component of up to CHUNK classes is one group, many to a task;
+   - in a larger one, which weak links may have run together, only classes that share a band are compared. A band with up
+     to CHUNK of them is a group; of bands with the same members one stays, and a pair counts in the least band it shares;
+   - the classes of larger bands (one text with many small changes) are cut into chunks ordered by set size; pairs of
+     chunks, less those too unlike in size to link, are separate groups, so one hot group spreads over many tasks.
+   Groups send back a count of links and a local root for each class, never pairs.
 4. Counts add up; local roots of cut components are joined by connected components once more.
 
 Result: one row per document with id, class_id (smallest id it is linked with, over any number of links) and n_links
-(other documents linked directly, copies included).
+(other documents linked directly, copies included). A document is an id with a set of shingles.
 
 Nulls and edge cases: a null or empty text links to nothing and is its own class; a row with a null id takes no part
 and has no row in the result; rows that repeat both id and text are one document, and an id with several texts has a
-row for each; ties have the smallest id; an empty table gives an empty result; further columns are not read.
+row for each, whose links and classes are its own; ties have the smallest id; a very long text is hashed in pieces, and
+its set is held whole by the task that signs or verifies it (8 bytes a word); an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, canonical, materialise, mix, shuffle_partitions, table
+from .common import Words, canonical, hot_join, materialise, mix, pieces, release, released, shuffle_partitions, table, text_key
 from .graph import connected_components
 
 SHINGLE = 5
@@ -39,9 +44,9 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares a band with this probability at least.
 RECALL = 0.999
 ROWS = 7
-#: Classes of a component that are compared in one task.
+#: Classes that are compared in one group.
 CHUNK = 512
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Texts whose shingles a task holds at once while it signs them.
 SLICE = 1_000
 
@@ -52,7 +57,7 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    found: dict[int, list[np.ndarray]] = {}
     docs, at, size = [], [], 0
 
     def flush() -> None:
@@ -62,22 +67,25 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
         cut = np.searchsorted(first, base)
         for k, i in enumerate(at):
             if base[k + 1] - base[k] < width:
-                h1 = words.hashes(words.starts[base[k] : base[k] + 1], words.ends[base[k + 1] - 1 : base[k + 1]])
-                out[i] = h1
+                own = words.hashes(words.starts[base[k] : base[k] + 1], words.ends[base[k + 1] - 1 : base[k + 1]])
             else:
-                out[i] = np.unique(h[cut[k] : cut[k + 1]])
+                own = np.unique(h[cut[k] : cut[k + 1]])
+            found.setdefault(i, []).append(own)
 
     for i, text in enumerate(texts):
         doc = canonical(text)
-        if doc:
-            docs.append(doc), at.append(i)
-            size += len(doc)
-        if size >= BLOCK_BYTES:
-            flush()
-            docs, at, size = [], [], 0
+        if not doc:
+            continue
+        for _, piece in pieces(doc, width):
+            docs.append(piece), at.append(i)
+            size += len(piece)
+            if size >= BLOCK_BYTES:
+                flush()
+                docs, at, size = [], [], 0
     if docs:
         flush()
-    return out
+    none = np.zeros(0, np.uint64)
+    return [none if i not in found else found[i][0] if len(found[i]) == 1 else np.unique(np.concatenate(found[i])) for i in range(len(texts))]
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +118,9 @@ def _sign(rows: int, bands: int, width: int):
                 part = batch.iloc[start : start + SLICE]
                 sets = shingle_sets(part["text"].tolist(), width)
                 signs = [band_hashes(s, rows, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pd.DataFrame({"id": part["id"], "key": [_set_key(s) for s in sets], "size": [len(s) for s in sets], "bands": signs})
+                yield pd.DataFrame({"id": part["id"], "text_key": part["text_key"], "key": [_set_key(s) for s in sets], "size": [len(s) for s in sets], "bands": signs})
 
-    return run
+    return released(run)
 
 
 def _links(sets: list[np.ndarray], other: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -138,46 +146,73 @@ def _links(sets: list[np.ndarray], other: list[np.ndarray] | None, threshold: fl
     return meet >= threshold * (left + right - meet) - 1e-4
 
 
-def _local_roots(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """The smallest id each one reaches through a symmetric matrix of links."""
-    root, left = np.full(len(ids), -1, np.int64), np.ones(len(ids), bool)
-    for i in np.argsort(ids):
+def _local_roots(links: np.ndarray) -> np.ndarray:
+    """The first row that each one reaches through a symmetric matrix of links."""
+    n = len(links)
+    root, left = np.full(n, -1, np.int64), np.ones(n, bool)
+    for i in range(n):
         if left[i]:
-            front = np.zeros(len(ids), bool)
+            front = np.zeros(n, bool)
             front[i] = True
             seen = front.copy()
             while front.any():
                 front = links[front].any(axis=0) & ~seen
                 seen |= front
-            root[seen] = ids[i]
+            root[seen] = i
             left &= ~seen
     return root
 
 
+def _met_before(band: int, bands: list, core: list) -> np.ndarray:
+    """Pairs that are compared elsewhere: in a smaller band that both have, or in their core."""
+    n = len(bands)
+    owner = np.repeat(np.arange(n), [len(b) for b in bands])
+    value = np.concatenate(bands) if n else np.zeros(0, np.int64)
+    owner, value = owner[value < band], value[value < band]
+    met = np.zeros((n, n), bool)
+    if len(value):
+        names, column = np.unique(value, return_inverse=True)
+        has = np.zeros((n, len(names)), np.float32)
+        has[owner, column] = 1
+        met = has @ has.T > 0
+    of = np.unique(["" if c is None else c.hex() for c in core], return_inverse=True)[1]
+    known = np.array([c is not None for c in core])
+    return met | (known[:, None] & (of[:, None] == of[None, :]))
+
+
 def _verify(threshold: float, width: int):
-    def group(ids, copies, sets, side, within):
+    def group(rows: pd.DataFrame, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        side, within = rows["side"].to_numpy(), bool(rows["within"].iloc[0])
         if within:
             links = _links(sets, None, threshold)
             np.fill_diagonal(links, False)
+            if rows["bands"].iloc[0] is not None:
+                links &= ~_met_before(int(rows["band"].iloc[0]), [np.asarray(b, np.int64) for b in rows["bands"]], rows["core"].tolist())
         else:
-            links = np.zeros((len(ids), len(ids)), bool)
+            links = np.zeros((len(rows), len(rows)), bool)
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if len(a) and len(b):
                 links[np.ix_(a, b)] = _links([sets[i] for i in a], [sets[i] for i in b], threshold)
                 links |= links.T
-        return links @ copies, _local_roots(ids, links)
+        return links @ rows["copies"].to_numpy(), _local_roots(links)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets(rows["text"].tolist(), width)
         own = [_set_key(s) == k for s, k in zip(sets, rows["key"])]  # an id may come with other texts
-        rows = rows.assign(at=np.arange(len(rows)))[own].drop_duplicates("id")
-        out = [pd.DataFrame({c: pd.Series(dtype=bool if c == "whole" else np.int64) for c in ("id", "links", "root", "whole")})]
-        for (_, whole), part in rows.groupby(["root", "whole"], sort=False):
-            ids = part["id"].to_numpy()
-            n, root = group(ids, part["copies"].to_numpy(), [sets[i] for i in part["at"]], part["side"].to_numpy(), bool(part["within"].iloc[0]))
-            out.append(pd.DataFrame({"id": ids, "links": n.astype(np.int64), "root": root, "whole": whole}))
+        rows = rows.assign(at=np.arange(len(rows)))[own]
+        out = [pd.DataFrame({"key": pd.Series(dtype=object), "links": pd.Series(dtype=np.int64), "root": pd.Series(dtype=object), "whole": pd.Series(dtype=bool)})]
+        for (_, whole), part in rows.groupby(["group", "whole"], sort=False):
+            part = part.drop_duplicates("key").sort_values("key")
+            n, root = group(part, [sets[i] for i in part["at"]])
+            keys = part["key"].to_numpy()
+            out.append(pd.DataFrame({"key": keys, "links": n.astype(np.int64), "root": keys[root], "whole": whole}))
         return pd.concat(out[1:] or out)
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = verify(rows)
+        release()
+        return out
+
     return run
 
 
@@ -185,12 +220,12 @@ def _cut(large: DataFrame, threshold: float) -> DataFrame:
     """large with `to`, the groups that each class goes to.
 
     Sizes fall into steps of 1 / threshold: linked sets are in the same step or in neighbouring ones. A step of a
-    component is cut into chunks by a hash of the id; each pair of chunks of one step, and of neighbours, is a group."""
+    core is cut into chunks by a hash of the key; each pair of chunks of one step, and of neighbours, is a group."""
     stepped = large.withColumn("step", F.floor(F.log("size") / math.log(1 / threshold)).cast("int"))
     counts = stepped.groupBy("root", "step").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     above = counts.select("root", (F.col("step") - 1).alias("step"), F.col("chunks").alias("above"))
     below = counts.select("root", (F.col("step") + 1).alias("step"), F.col("chunks").alias("below"))
-    cut = stepped.join(counts, ["root", "step"]).join(above, ["root", "step"], "left").join(below, ["root", "step"], "left").withColumn("k", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cut = stepped.join(counts, ["root", "step"]).join(above, ["root", "step"], "left").join(below, ["root", "step"], "left").withColumn("k", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     group = lambda step, cross, i, j, side: F.struct(step.alias("step"), F.lit(cross).alias("cross"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(0))), lambda j: j < F.coalesce(F.col(n), F.lit(0)))
     k, step = F.col("k"), F.col("step")
@@ -204,43 +239,78 @@ def _cut(large: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id, n_links) as the module says."""
+def _as_group(rows: DataFrame, **own: Column) -> DataFrame:
+    """rows with what a group of texts needs beside them."""
+    plain = {"whole": F.lit(True), "side": F.lit(0), "within": F.lit(True), "core": F.lit(None).cast("binary"), "bands": F.lit(None).cast("array<long>"), "band": F.lit(None).cast("long")}
+    return rows.withColumns({**plain, **own}).select("text", "key", "copies", "group", *plain)
+
+
+def _compare_large(large: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Groups for the members of large components: (key, rep, copies, band, bands, core) for each band of up to CHUNK of them,
+    and (key, rep, copies, root, to) for the cores, the components of larger bands."""
+    banded = materialise(large.select("key").join(classes.select("key", "bands"), "key").select("key", F.explode("bands").alias("band")), "large-bands")
+    total = banded.count()
+    bands = materialise(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark")).where("n > 1"), "band-sizes")
+    stars = hot_join(banded, bands.where(F.col("n") > CHUNK).select("band", "n", "least"), "band", "n", total)
+    cores = materialise(connected_components(stars.select(F.col("key").alias("a"), F.col("least").alias("b"))), "cores").select(F.col("id").alias("key"), F.col("root").alias("core"))
+    one_each = bands.where(F.col("n") <= CHUNK).groupBy("n", "mark").agg(F.min("band").alias("band")).select("band")
+    small = banded.join(one_each, "band").join(cores, "key", "left")
+    of_one_core = small.groupBy("band").agg(F.min("core").alias("low"), F.max("core").alias("high"), (F.count("core") == F.count("*")).alias("every")).where("every and low = high")
+    small = materialise(small.join(of_one_core.select("band"), "band", "left_anti"), "small-bands")
+    own = small.groupBy("key").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    facts = large.select("key", "rep", "copies", "size")
+    groups = facts.join(own, "key").join(cores, "key", "left").select("key", "rep", "copies", "core", "bands", F.explode("bands").alias("band"))
+    return groups, _cut(facts.join(cores.withColumnRenamed("core", "root"), "key"), threshold).select("key", "rep", "copies", "root", "to")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, width: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links) as the module says; keyed: one row for each text of an id, with text_key, 32 bits of its hash."""
     spark = docs.sparkSession
     bands, parts = bands_for(threshold, rows, recall), shuffle_partitions(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(texts.mapInPandas(_sign(rows, bands, width), "id long, key binary, size long, bands array<long>"), "signatures")
-    filled = signed.where("key is not null").groupBy("id").agg(F.min("key").alias("key"))
-    classes = filled.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(classes.join(signed.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("size").alias("size")), "key"), "classes")
-
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    stars = banded.join(least, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    candidates = connected_components(stars)
-
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("n"))
-    members = materialise(candidates.join(sizes, "root").join(classes.select(F.col("rep").alias("id"), "key", "copies", "size"), "id"), "members")
+    signed = materialise(texts.select("*", text_key("text").alias("text_key")).mapInPandas(_sign(rows, bands, width), "id long, text_key long, key binary, size long, bands array<long>"), "signatures")
+    filled = signed.where("key is not null")
+    documents = filled.select("id", "key").distinct()
+    named = documents.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialise(named.join(filled.groupBy("key").agg(F.first("bands").alias("bands"), F.first("size").alias("size")), "key"), "classes")
+    facts = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    n_classes, n_documents = facts[0], facts[1]
+
+    banded = classes.select("key", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    stars = hot_join(banded, materialise(least, "bands"), "band", "n", n_classes * bands).where("key <> least")
+    candidates = materialise(connected_components(stars.select(F.col("key").alias("a"), F.col("least").alias("b"))), "candidates").select(F.col("id").alias("key"), F.col("root").alias("group"))
+
+    sizes = candidates.groupBy("group").agg(F.count("*").alias("n")).withColumn("often", F.col("n"))
+    members = materialise(hot_join(candidates, sizes, "group", "often", n_classes).join(classes.select("key", "rep", "copies", "size"), "key"), "members")
     large = members.where(F.col("n") > CHUNK)
     some_large = not large.isEmpty()
-    columns = ["id", "text", "key", "copies", "root", "whole", "side", "within"]
-    small = texts.join(members.where(F.col("n") <= CHUNK).hint("shuffle_merge"), "id").withColumns({"whole": F.lit(True), "side": F.lit(0), "within": F.lit(True)})
-    verdict = "id long, links long, root long, whole boolean"
-    checked = small.select(*columns, F.pmod(F.xxhash64("root"), F.lit(8 * parts)).alias("g")).repartition(parts, "g").groupBy("g").applyInPandas(_verify(threshold, width), verdict)
+    verdict = "key binary, links long, root binary, whole boolean"
+    send = lambda x: texts.join(x.hint("shuffle_merge"), F.col("id") == F.col("rep"))
+    spread = lambda x: x.select("*", F.pmod(F.xxhash64("group"), F.lit(8 * parts)).alias("g")).repartition(parts, "g").groupBy("g").applyInPandas(_verify(threshold, width), verdict)
+    small = _as_group(send(members.where(F.col("n") <= CHUNK).select("key", "rep", "copies", "group")))
     if some_large:
-        sent = texts.join(_cut(large, threshold).select("id", "key", "copies", "root", "to").hint("shuffle_merge"), "id").withColumn("to", F.explode("to")).select("*", "to.*")
-        sent = sent.withColumns({"whole": F.lit(False), "within": ~F.col("cross") & (F.col("i") == F.col("j"))})
-        checked = checked.union(sent.select(*columns, "step", "cross", "i", "j").repartition(parts, "root", "step", "cross", "i", "j").groupBy("root", "step", "cross", "i", "j").applyInPandas(_verify(threshold, width), verdict))
-    checked = materialise(checked, "verified")
-    found = checked.where("whole").select("id", "links", F.col("root").alias("class_id"))
+        groups, cores = _compare_large(large, classes, threshold)
+        in_bands = _as_group(send(groups), whole=F.lit(False), core=F.col("core"), bands=F.col("bands"), band=F.col("band"), group=F.col("band").cast("string").cast("binary"))
+        sent = send(cores).withColumn("to", F.explode("to"))
+        pairs = _as_group(sent, whole=F.lit(False), side=F.col("to.side"), within=~F.col("to.cross") & (F.col("to.i") == F.col("to.j")), group=F.concat(F.col("root"), F.concat_ws("|", "to.step", "to.cross", "to.i", "to.j").cast("binary")))
+        pairs = pairs.repartition(parts, "group").groupBy("group").applyInPandas(_verify(threshold, width), verdict)
+        checked = materialise(spread(small.union(in_bands)).union(pairs), "verified")
+    else:
+        checked = materialise(spread(small), "verified")
+    found = checked.where("whole").select("key", "links", "root")
     if some_large:
-        counts = checked.where("not whole").groupBy("id").agg(F.sum("links").alias("links"))
-        roots = connected_components(checked.where("not whole and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-        found = found.union(counts.join(roots, "id", "left").select("id", "links", F.coalesce("root", "id").alias("class_id")))
-    by_key = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"))
-    linked = filled.join(by_key, "key").select(F.col("id").alias("doc_id"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    empty = signed.where("key is null").select("id").distinct().join(filled, "id", "left_anti")
-    return linked.union(empty.select("id", "id", F.lit(0).cast("long")))
+        counts = checked.where("not whole").groupBy("key").agg(F.sum("links").alias("links"))
+        roots = connected_components(checked.where("not whole and key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+        found = found.union(counts.join(roots.withColumnRenamed("id", "key"), "key", "left").select("key", "links", F.coalesce("root", "key").alias("root")))
+    judged = materialise(classes.select("key", "rep", "copies").join(found, "key", "left").select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "classes-judged")
+    ids = judged.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    of_key = hot_join(judged, ids, "root", "n", n_classes).select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies"))
+    asked = filled.select("id", "text_key", "key").distinct() if keyed else documents
+    extra = ["text_key"] if keyed else []
+    linked = hot_join(asked, materialise(of_key, "links-of-classes"), "key", "copies", n_documents).select(F.col("id").alias("doc_id"), "class_id", "n_links", *extra)
+    empty = signed.where("key is null").select("id", *extra).distinct()
+    return linked.union(empty.select("id", "id", F.lit(0).cast("long"), *extra))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -252,27 +322,28 @@ def brute_force(docs: list[tuple[int, str | None]], threshold: float = THRESHOLD
     sets = {}
     for i, text in docs:
         w = (text or "").encode().split()
-        sets[i] = {tuple(w[a : a + width]) for a in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
-    where: dict[tuple, list[int]] = {}
+        s = frozenset(tuple(w[a : a + width]) for a in range(len(w) - width + 1)) or frozenset({tuple(w)} if w else ())
+        sets[i, s] = s
+    where: dict[tuple, list[tuple]] = {}
     for i, s in sets.items():
         for g in s:
             where.setdefault(g, []).append(i)
-    links: dict[int, set[int]] = {i: set() for i in sets}
+    links: dict[tuple, set[tuple]] = {}
     for i, s in sets.items():
-        meet: dict[int, int] = {}
+        meet: dict[tuple, int] = {}
         for g in s:
             for j in where[g]:
                 meet[j] = meet.get(j, 0) + 1
         links[i] = {j for j, n in meet.items() if j != i and n >= threshold * (len(s) + len(sets[j]) - n) - 1e-9}
     out, seen = [], {}
-    for i in sorted(sets):
+    for i in sorted(sets, key=lambda k: k[0]):
         if i not in seen:
             stack = [i]
-            seen[i] = i
+            seen[i] = i[0]
             while stack:
                 for j in links[stack.pop()]:
                     if j not in seen:
-                        seen[j] = i
+                        seen[j] = i[0]
                         stack.append(j)
-        out.append((i, seen[i], len(links[i])))
+        out.append((i[0], seen[i], len(links[i])))
     return out

@@ -49,14 +49,14 @@ def secret_scan_sql() -> str:
         p = _quoted(pattern)
         must = "".join(f" AND regexp_matches(value, {_quoted(m)})" for m in musts)
         kinds.append(
-            f"""SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, begins, begins + length(m[k]) AS ends, value FROM (SELECT *, v[k] AS value, CAST(list_sum(list_transform(g[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS BIGINT) AS begins
- FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, owner, string_split_regex(x, {p}) AS g, regexp_extract_all(x, {p}) AS m, regexp_extract_all(x, {p}, {group}) AS v FROM d WHERE regexp_matches(x, {p})))) WHERE length(value) >= {least}{must}"""
+            f"""SELECT doc_id, owner, repository, {rank} AS rank, '{kind}' AS kind, begins, begins + length(m[k]) AS ends, value FROM (SELECT *, v[k] AS value, CAST(list_sum(list_transform(g[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS BIGINT) AS begins
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, owner, repository, string_split_regex(x, {p}) AS g, regexp_extract_all(x, {p}) AS m, regexp_extract_all(x, {p}, {group}) AS v FROM d WHERE regexp_matches(x, {p})))) WHERE length(value) >= {least}{must}"""
         )
     base, text = len(secrets.BASE), "string_agg(kind || ':' || begins || ':' || ends, ',' ORDER BY begins, rank)"
     counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k[0]}') AS BIGINT) AS n_{k[0]}" for k in secrets.BASE)
     zeros = ", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in secrets.BASE)
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner FROM documents), s AS ({" UNION ALL ".join(kinds)}),
- o AS (SELECT value, count(DISTINCT owner) >= {secrets.MANY_OWNERS} OR regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) OR replace(value, substr(value, 1, 1), '') = '' AS example FROM s GROUP BY value),
- j AS (SELECT s.*, example FROM s JOIN o USING (value)),
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents), s AS ({" UNION ALL ".join(kinds)}),
+ o AS (SELECT lower(value) AS low, count(DISTINCT owner) >= {secrets.MANY_OWNERS} OR count(DISTINCT (owner, repository)) >= {secrets.MANY_REPOSITORIES} AS copied FROM s GROUP BY lower(value)),
+ j AS (SELECT s.*, copied OR regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) OR replace(value, substr(value, 1, 1), '') = '' AS example FROM s JOIN o ON o.low = lower(s.value)),
  r AS (SELECT doc_id, {counts}, {text} FILTER (rank < {base}) AS base, {text} FILTER (rank < {base} OR NOT example) AS every, count(*) FILTER (NOT example) AS live, count(*) FILTER (example) AS example FROM j GROUP BY doc_id)
  SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, CAST(coalesce(live, 0) AS BIGINT) AS n_live, CAST(coalesce(example, 0) AS BIGINT) AS n_example FROM d LEFT JOIN r USING (doc_id)"""

@@ -7,8 +7,8 @@ lengths, taken in descending order and as often as they wait, can reach; it stop
 stepping back through the bitsets gives the counts of each length.
 
 Only lengths decide, and pieces are cut before they are packed, so a map task packs the pieces of its own partition
-and nothing shuffles. A task packs once WINDOW pieces wait, so its memory is bounded; what lies in the last sequences
-of a window is the only padding. Sequence ids hold the partition and a count, so a task that is run again gives the
+and nothing shuffles. A task packs once WINDOW pieces wait, and forgets words beyond KNOWN_BYTES, so its memory is
+bounded; what lies in the last sequences of a window is the only padding. Sequence ids hold the partition and a count, so a task that is run again gives the
 same ids.
 
 Nulls and edge cases: a null text is an empty one and has the end id alone; a null doc_id passes through; repeated
@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_file
-from .common import table
+from .common import released, table
 
 CAPACITY = 2048
 END_ID = 1
 #: Pieces that wait in a map task before it packs them.
 WINDOW = 50_000
-#: Words that a worker remembers with their ids.
-PIECES = 600_000
+#: Bytes of words and their ids that a task remembers, what Python's own objects take included.
+KNOWN_BYTES, KNOWN_COST = 64 << 20, 180
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -61,6 +61,7 @@ class WordIds:
         #: The pattern of the file; a fixed value of the format.
         self.words = latin_pattern(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
@@ -71,9 +72,11 @@ class WordIds:
         known, words = self.known, self.words.findall(text.lower())
         new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > PIECES:
+            cost = sum(map(len, new)) + KNOWN_COST * len(new)
+            if self.held + cost > KNOWN_BYTES:
                 known.clear()
-                new = set(words)
+                self.held, new = 0, set(words)
+            self.held += cost
             self._learn(list(new))
         out = b"".join([known[w] for w in words])
         for w in new:
@@ -151,7 +154,7 @@ class _some(list):
 
 def _packer(tokenizer_path: str, capacity: int, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _word_ids(tokenizer_path), int(end_id).to_bytes(4, "little")
+        ids_of, end = WordIds(tokenizer_path), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         full, rest = [], []
 
@@ -185,16 +188,7 @@ def _packer(tokenizer_path: str, capacity: int, end_id: int, window: int):
                 yield rows(len(rest) >= window)
         yield rows(True)
 
-    return run
-
-
-_loaded: dict[str, WordIds] = {}
-
-
-def _word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return released(run)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:

@@ -9,7 +9,8 @@ of its other windows are ranges to remove. Ranges go back to their documents by
 Before strings travel, a map task keeps each distinct string once, with its smallest doc_id: further local documents
 with that string are already known to lose its words. So a passage that a third of all documents share reaches its
 bucket once a task, not once a document. Strings of one bucket are compressed together. Map tasks flush at a fixed
-number of bytes.
+number of bytes, what Python's own objects take included, and give their memory back when they end. A very long text is
+looked at in pieces that overlap by 12 words, so hashes take a fixed space whatever its length.
 
 A pass before that counts the bytes of super-k-mers in CELLS cells of minimisers, with map-side sums. Buckets are as many
 as BUCKET_BYTES asks for, and a multiple of spark.sql.shuffle.partitions at least. Where a cell alone would fill a
@@ -35,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, canonical, free_name, mix, shuffle_partitions, sliding_min, text_key
+from .common import Words, canonical, free_name, mix, pieces, release, released, shuffle_partitions, sliding_min, text_key
 
 WINDOW = 13
 GRAM = 3
 #: Words are hashed in blocks of so many bytes of text, and packed strings leave a map task at so many bytes.
-BLOCK_BYTES = 2 << 20
-FLUSH_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20
+FLUSH_BYTES = 48 << 20
+#: What a string, a further place of one, and a local range take in Python beside their own bytes.
+STRING_COST, PLACE_COST, LOCAL_COST = 330, 72, 220
 #: Minimisers are counted in so many cells; strings of so many bytes make a bucket.
 CELLS = 1 << 14
 BUCKET_BYTES = 4 << 20
@@ -92,30 +95,33 @@ class _Sender:
         self.strings: dict[bytes, list] = {}
         self.bytes, self.local = 0, []
 
-    def add(self, ids: list[int], keys: list[int], docs: list[bytes]) -> None:
+    def add(self, ids: list[int], keys: list[int], offsets: list[int], docs: list[bytes]) -> None:
         words = Words(docs)
         least, first, ends_run = _super_kmers(words, self.window, self.hot)
         own = np.where(self.hot[_cell(least[first])], words.hashes(words.starts[first], words.ends[first + self.window - 1]), least[first])
         base = words.first_words()
         doc = words.doc[first]
         data, known = words.data, self.strings
-        rows = zip(words.starts[first].tolist(), words.ends[ends_run + self.window - 1].tolist(), (mix(own) % np.uint64(self.buckets)).tolist(), doc.tolist(), (first - base[doc]).tolist(), (ends_run - first).tolist())
+        rows = zip(words.starts[first].tolist(), words.ends[ends_run + self.window - 1].tolist(), (mix(own) % np.uint64(self.buckets)).tolist(), doc.tolist(), (first - base[doc] + np.array(offsets)[doc]).tolist(), (ends_run - first).tolist())
         for s, e, bucket, d, at, more in rows:
             text = data[s:e]
             seen = known.get(text)
             if seen is None:
                 known[text] = [bucket, ids[d], keys[d], at]
-                self.bytes += e - s + 120
+                self.bytes += e - s + STRING_COST
             elif seen[1] == ids[d]:
                 seen += (keys[d], at)
+                self.bytes += PLACE_COST
             elif seen[1] < ids[d]:
                 i, k, a, b = self.local[-1] if self.local else (None, None, 0, 0)
                 if (i, k) == (ids[d], keys[d]) and a <= at <= b:  # windows that stand alone follow each other
                     self.local[-1] = (i, k, a, max(b, at + more + self.window))
                 else:
                     self.local.append((ids[d], keys[d], at, at + more + self.window))
+                    self.bytes += LOCAL_COST
             else:
                 self.local += [(seen[1], seen[i], seen[i + 1], seen[i + 1] + more + self.window) for i in range(2, len(seen), 2)]
+                self.bytes += LOCAL_COST
                 known[text] = [bucket, ids[d], keys[d], at]
 
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
@@ -133,33 +139,35 @@ class _Sender:
             yield int(out[0, 0] % self.buckets), 1, zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(out.T).tobytes())
 
 
-def _blocks(batch: pd.DataFrame, window: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Ids, keys and words of documents that have a window, BLOCK_BYTES at a time."""
-    ids, keys, docs, size = [], [], [], 0
+def _blocks(batch: pd.DataFrame, window: int) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+    """Ids, keys, word offsets and words of (pieces of) documents that have a window, BLOCK_BYTES at a time."""
+    ids, keys, offsets, docs, size = [], [], [], [], 0
     for i, k, text in zip(batch["id"].tolist(), batch["key"].tolist(), batch["text"]):
         doc = canonical(text)
-        if doc.count(b" ") + 1 >= window:
-            ids.append(i), keys.append(k), docs.append(doc)
-            size += len(doc)
-        if size >= BLOCK_BYTES:
-            yield ids, keys, docs
-            ids, keys, docs, size = [], [], [], 0
+        if doc.count(b" ") + 1 < window:
+            continue
+        for offset, piece in pieces(doc, window):
+            ids.append(i), keys.append(k), offsets.append(offset), docs.append(piece)
+            size += len(piece)
+            if size >= BLOCK_BYTES:
+                yield ids, keys, offsets, docs
+                ids, keys, offsets, docs, size = [], [], [], [], 0
     if docs:
-        yield ids, keys, docs
+        yield ids, keys, offsets, docs
 
 
 def _weigh(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS)
         for batch in batches:
-            for _, _, docs in _blocks(batch, window):
+            for *_, docs in _blocks(batch, window):
                 words = Words(docs)
                 least, first, last = _super_kmers(words, window)
                 total += np.bincount(_cell(least[first]), words.ends[last + window - 1] - words.starts[first], CELLS)
         cells = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cells, "bytes": total[cells].astype(np.int64)})
 
-    return run
+    return released(run)
 
 
 def _send(buckets: int, window: int, hot: np.ndarray):
@@ -174,7 +182,7 @@ def _send(buckets: int, window: int, hot: np.ndarray):
         if sender.strings:
             yield frame(list(sender.flush()))
 
-    return run
+    return released(run)
 
 
 def _later_windows(data: bytes, owner: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -218,7 +226,7 @@ def _windows(blobs: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.nda
 
 
 def _count(window: int):
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+    def count(bucket: pd.DataFrame) -> pd.DataFrame:
         ranges = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(4, -1) for x in bucket["data"][bucket["kind"] == 1]]
         parts = [_unpack(x) for x in bucket["data"][bucket["kind"] == 0]]
         if parts:
@@ -234,29 +242,40 @@ def _count(window: int):
         out = np.concatenate(ranges, axis=1) if ranges else np.zeros((4, 0), np.int64)
         return pd.DataFrame({"id": out[0], "key": out[1], "span": (out[2] << 32) | out[3]})
 
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        out = count(bucket)
+        release()
+        return out
+
     return run
 
 
+def _kept(doc: bytes, spans) -> tuple[int, int, bytes]:
+    """Words, words removed and the words left of a canonical text."""
+    n = doc.count(b" ") + 1 if doc else 0
+    if spans is None or not len(spans):
+        return n, 0, doc
+    gaps = np.flatnonzero(np.frombuffer(doc, np.uint8) == 32)
+    edge = np.zeros(n + 1, np.int32)
+    spans = np.asarray(spans, np.int64)
+    np.add.at(edge, spans >> 32, 1)
+    np.add.at(edge, spans & 0xFFFFFFFF, -1)
+    stay = (np.cumsum(edge)[:-1] == 0).astype(np.int8)
+    turns = np.flatnonzero(np.diff(stay, prepend=0, append=0))
+    opens, closes = turns[::2], turns[1::2]  # runs of words that stay
+    starts = np.where(opens == 0, 0, gaps[np.maximum(opens, 1) - 1] + 1) if len(gaps) else np.zeros(len(opens), np.int64)
+    ends = np.where(closes == n, len(doc), gaps[np.minimum(closes, n - 1) - 1]) if len(gaps) else np.full(len(closes), len(doc))
+    return n, n - int(stay.sum()), b" ".join([doc[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
+
+
 def _apply(text_at: str, spans_at: str, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch[text_at], batch[spans_at]):
-                words = (text or "").encode("utf-8", "replace").split()
-                n_words.append(len(words))
-                if spans is None or not len(spans):
-                    n_removed.append(0), kept.append(b" ".join(words).decode())
-                    continue
-                edge = np.zeros(len(words) + 1, np.int32)
-                spans = np.asarray(spans, np.int64)
-                np.add.at(edge, spans >> 32, 1)
-                np.add.at(edge, spans & 0xFFFFFFFF, -1)
-                stay = np.cumsum(edge)[:-1] == 0
-                left = [w for w, k in zip(words, stay.tolist()) if k]
-                n_removed.append(len(words) - len(left)), kept.append(b" ".join(left).decode())
-            yield batch.drop(columns=[spans_at]).assign(**{names[0]: n_words, names[1]: n_removed, names[2]: kept})
+            left = [_kept(canonical(text), spans) for text, spans in zip(batch[text_at], batch[spans_at])]
+            n_words, n_removed, kept = zip(*left) if left else ((), (), ())
+            yield batch.drop(columns=[spans_at]).assign(**{names[0]: n_words, names[1]: n_removed, names[2]: [k.decode() for k in kept]})
 
-    return run
+    return released(run)
 
 
 def packed_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
