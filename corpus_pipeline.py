@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varcluster.llm.bpe import tokenizer_file
-from varcluster.llm.common import free_name, materialise, table
+from varcluster.llm.common import free_name, materialise, table, text_key
 from varcluster.llm.jaccard_join import jaccard_join
 from varcluster.llm.packing import pack_documents
 from varcluster.llm.quality import score_quality, train
@@ -32,8 +32,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = jaccard_join(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    key, later = free_name(docs, "text_key"), jaccard_join(docs, keyed=True).where("doc_id <> class_id").select(F.col("doc_id").alias("later_id"), F.col("text_key").alias("later_key"))
+    rows = docs.withColumn(key, text_key("text"))
+    return rows.join(later, (F.col("doc_id") == F.col("later_id")) & (F.col(key) == F.col("later_key")), "left_anti").select(*docs.columns)
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
