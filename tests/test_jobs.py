@@ -171,3 +171,26 @@ def test_gene_rates(spark):
     twice = gene_rates(both, models, uniform_rates(spark)).first()
     assert twice["missense_rate"] == pytest.approx(math.log10(2.45e-5))  # bases that the first transcript codes for are masked
     assert twice["splice_lof_rate"] == pytest.approx(math.log10(2 * 6e-6))  # shared splice sites are not
+
+
+def test_samplers_are_appended(spark):
+    from varcluster.operators.sites import append_samplers
+
+    columns = "gene string, tx string, consequence string, bp int, ref string, alt string, mu double"
+    a, b = spark.createDataFrame([("A", "t", "missense", 5, "A", "C", 1.0), ("A", "t", "missense", 9, "A", "C", 5.0)], columns), spark.createDataFrame([("A", "t", "missense", 2, "A", "G", 4.0)], columns)
+    assert [(r["bp"], r["cumulative"]) for r in append_samplers(a, b).orderBy("cumulative").collect()] == [(5, 1.0), (9, 6.0), (2, 10.0)]
+    assert a.count() == 2
+    with pytest.raises(Exception, match="single base"):
+        append_samplers(a, b.withColumn("alt", F.lit("GT"))).collect()
+
+
+def test_batches_and_symbols(spark):
+    from varcluster.sources.variants import many_missense
+
+    rows = spark.createDataFrame([("A", "missense_variant")] * 2 + [("B", "missense_variant"), ("B", "stop_lost"), ("C", "stop_gained")], "gene string, consequence string")
+    assert [r[0] for r in many_missense(rows).collect()] == ["A"]
+    known, aliases = spark.createDataFrame([("OLD1",), ("OLD2",), ("X",)], "gene string"), spark.createDataFrame([("NEW", "OLD1"), ("NEW", "OLD2"), ("X", "OLD1"), ("Y", "OLD2")], "symbol string, previous string")
+    of = lambda *names: sorted(map(tuple, with_previous_symbols(spark.createDataFrame([(n,) for n in names], "symbol string"), known, aliases).collect()))
+    assert of("X", "Y") == [("X", "X"), ("Y", "OLD2")]
+    with pytest.raises(Exception, match="several previous symbols"):
+        of("NEW")

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coding as C
-from ..functions.stats import at_most, distances, distances_3d, fisher, geometric_mean, log10_or_null, monte_carlo_p, with_share
-from ..operators.cover import greedy_cover, most_held
-from ..operators.sites import site_table, unmasked
+from ..functions.stats import at_most, fisher, log10_or_null, mean_distance, mean_distance_3d, monte_carlo_p, with_share
+from ..operators.cover import greedy_cover, in_intervals, left_over, most_held
+from ..operators.sites import drawn, rates_by_class, site_table, unmasked, with_context_rates, with_prefix_sums
 from ..sources.annotation import merged_intervals
 from ..sources.rates import read_context_rates
 from ..sources.trinucleotide_rates import TRINUCLEOTIDE_RATES
-from ..sources.variants import enough_variants, grouped_variants, usable_variants
-from .api import cluster
+from ..sources.structures import without_gap
+from ..sources.variants import enough_variants, grouped_variants, many_missense, usable_variants
+from .api import cluster, gene_rates, observed_clustering
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +75,8 @@ def min_events_gate(spark, sf_dir):
 )
 def pairwise_geomean(spark, sf_dir):
     """The geometric mean of all distances between a gene's missense positions."""
-    d = distances(F.col("missense"))
-    return grouped_variants(_variants(spark, sf_dir)).where(F.size("missense") > 1).select("gene", F.size(d).cast("long").alias("n_pairs"), F.round(geometric_mean(d), 6).alias("dist"))
+    n = F.size("missense").cast("long")
+    return grouped_variants(_variants(spark, sf_dir)).where(n > 1).select("gene", F.floor(n * (n - 1) / 2).alias("n_pairs"), F.round(mean_distance(F.col("missense")), 6).alias("dist"))
 
 
 @_query(
@@ -86,8 +87,8 @@ def range_join_in_interval(spark, sf_dir):
     """Variants in intervals: an equality on the gene carries the range condition."""
     e = _table(spark, sf_dir, "events")
     i = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("interval_id"), F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("e"))
-    v = e.where("event_type <> 'signup'").select(F.col("user_id").alias("u"), "ts", "event_id")
-    return i.join(v, (F.col("user_id") == F.col("u")) & F.col("ts").between(F.col("s"), F.col("e")), "left").groupBy("user_id", "interval_id").agg(F.count("event_id").alias("n"))
+    v = e.where("event_type <> 'signup'").select("user_id", F.col("ts").alias("at"), "event_id")
+    return in_intervals(i, v, "user_id").groupBy("user_id", "interval_id").agg(F.count("event_id").alias("n"))
 
 
 @_query(
@@ -106,8 +107,8 @@ def nearest_interval(spark, sf_dir):
 
 @_query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM events")
 def prefix_sum(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.sum("value").over(order), 4).alias("cumulative"))
+    sites = _table(spark, sf_dir, "events").select(F.col("user_id").alias("gene"), F.lit("").alias("tx"), F.lit("").alias("consequence"), F.col("event_id").alias("bp"), F.lit("").alias("alt"), F.col("value").alias("mu"))
+    return with_prefix_sums(sites).select(F.col("gene").alias("user_id"), F.col("bp").alias("event_id"), F.round("cumulative", 4).alias("cumulative"))
 
 
 #: A uniform number above 0 from a text, the same in both engines.
@@ -129,10 +130,10 @@ def weighted_sample(spark, sf_dir):
     """Draws with replacement by weight: a number falls between two prefix sums of its own group."""
     w = _table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("w")).where("w > 0")
     order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = w.withColumn("cum", F.sum("w").over(order))
+    c = w.withColumn("cumulative", F.sum("w").over(order))
     d = w.groupBy("user_id").agg(F.sum("w").alias("total")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    d = d.select(F.col("user_id").alias("g"), "k", (F.col("total") * _uniform(F.concat_ws("|", "user_id", "k"))).alias("u"))
-    return d.join(c, (F.col("g") == F.col("user_id")) & (F.col("u") > F.col("cum") - F.col("w")) & (F.col("u") <= F.col("cum"))).select("user_id", "k", "event_id")
+    d = d.select("user_id", "k", (F.col("total") * _uniform(F.concat_ws("|", "user_id", "k"))).alias("u"))
+    return drawn(c, d, "user_id").select("user_id", "k", "event_id")
 
 
 ROUNDS = 200
@@ -140,32 +141,29 @@ ROUNDS = 200
 
 @_query(
     EVENTS_SQL
-    + f""", s AS (SELECT gene, pos, count(*) AS w FROM v GROUP BY gene, pos),
- c AS (SELECT gene, pos, w, CAST(sum(w) OVER (PARTITION BY gene ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM s),
- t AS (SELECT gene, max(cum) AS total FROM c GROUP BY gene),
- o AS (SELECT gene, pos, row_number() OVER (PARTITION BY gene ORDER BY pos, event_id) AS k FROM v WHERE cls = 'missense'),
- o3 AS (SELECT gene, max(CASE WHEN k = 1 THEN pos END) AS a, max(CASE WHEN k = 2 THEN pos END) AS b, max(CASE WHEN k = 3 THEN pos END) AS c FROM o WHERE k <= 3 GROUP BY gene HAVING count(*) = 3),
- d AS (SELECT t.gene, i, j, total * {_UNIFORM_SQL.format("t.gene || '|' || i || '|' || j")} AS u FROM t JOIN o3 USING (gene), (SELECT unnest(range({ROUNDS})) AS i), (SELECT unnest(range(3)) AS j)),
- p AS (SELECT d.gene, d.i, d.j, c.pos FROM d JOIN c ON c.gene = d.gene AND d.u > c.cum - c.w AND d.u <= c.cum),
- p3 AS (SELECT gene, max(CASE WHEN j = 0 THEN pos END) AS a, max(CASE WHEN j = 1 THEN pos END) AS b, max(CASE WHEN j = 2 THEN pos END) AS c FROM p GROUP BY gene, i),
- g AS (SELECT gene, 1 AS sim, a, b, c FROM p3 UNION ALL SELECT gene, 0, a, b, c FROM o3),
- q AS (SELECT *, CASE WHEN a = b OR b = c OR a = c THEN 1 ELSE 0 END AS z FROM g),
- m AS (SELECT gene, sim, exp((ln(abs(a - b) + z) + ln(abs(a - c) + z) + ln(abs(b - c) + z)) / 3) - z AS x FROM q)
+    + f""", s AS (SELECT gene, pos, row_number() OVER (PARTITION BY gene ORDER BY pos, event_id) AS at, count(*) OVER (PARTITION BY gene) AS total FROM v),
+ o AS (SELECT gene, pos, row_number() OVER (PARTITION BY gene ORDER BY pos, event_id) AS k, count(*) OVER (PARTITION BY gene) AS n FROM v WHERE cls = 'missense'),
+ t AS (SELECT gene, max(n) AS n, max(total) AS total FROM o JOIN (SELECT DISTINCT gene, total FROM s) USING (gene) WHERE n >= 2 GROUP BY gene),
+ d AS (SELECT gene, i, j, CAST(floor(total * {_UNIFORM_SQL.format("gene || '|' || i || '|' || j")}) AS BIGINT) + 1 AS at FROM (SELECT gene, total, i, unnest(range(n)) AS j FROM t, (SELECT unnest(range({ROUNDS})) AS i))),
+ g AS (SELECT d.gene, d.i, d.j, s.pos FROM d JOIN s ON s.gene = d.gene AND s.at = d.at UNION ALL SELECT o.gene, -1, k, pos FROM o WHERE n >= 2),
+ p AS (SELECT a.gene, a.i, abs(a.pos - b.pos) AS d FROM g a JOIN g b ON a.gene = b.gene AND a.i = b.i AND a.j < b.j),
+ m AS (SELECT gene, i, CASE WHEN bool_or(d = 0) THEN exp(avg(ln(d + 1))) - 1 ELSE exp(avg(ln(CASE WHEN d = 0 THEN 1 ELSE d END))) END AS x FROM p GROUP BY gene, i)
  SELECT r.gene, round(r.x, 6) AS observed, round((1.0::DOUBLE + count(*) FILTER (m.x <= r.x + 1e-9 * greatest(1.0, r.x))) / (1.0::DOUBLE + count(*)), 9) AS p
- FROM m r JOIN m ON m.gene = r.gene AND m.sim = 1 WHERE r.sim = 0 GROUP BY r.gene, r.x"""
+ FROM m r JOIN m ON m.gene = r.gene AND m.i >= 0 WHERE r.i = -1 GROUP BY r.gene, r.x"""
 )
 def mc_pvalue(spark, sf_dir):
-    """A simulated p-value for each gene's first three missense positions, in columns alone."""
+    """A simulated p-value for all of each gene's missense positions, in columns alone: as many sites as it has are drawn
+    in each round, by the number of events at them, which is to draw an event. An event's number and its gene are the key
+    of the join, so a gene's draws spread over tasks."""
     v = _events(spark, sf_dir)
-    s = v.groupBy("gene", "pos").agg(F.count("*").alias("w"))
-    sites = s.withColumn("cum", F.sum("w").over(Window.partitionBy("gene").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    observed = grouped_variants(usable_variants(v)).where(F.size("missense") >= 3).select("gene", geometric_mean(distances(F.slice("missense", 1, 3))).alias("observed"))
-    totals = s.groupBy("gene").agg(F.sum("w").alias("total")).join(observed, "gene")
-    draws = totals.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
-    draws = draws.withColumn("u", F.col("total") * _uniform(F.concat_ws("|", "gene", "i", "j")))
-    hit = draws.join(sites, (draws["gene"] == sites["gene"]) & (F.col("u") > F.col("cum") - F.col("w")) & (F.col("u") <= F.col("cum")))
-    sets = hit.groupBy(draws["gene"], "i", "observed").agg(F.collect_list("pos").alias("pos"))
-    x = geometric_mean(distances(F.col("pos")))
+    order = Window.partitionBy("gene").orderBy("pos")
+    sites = v.select("gene", "pos", F.row_number().over(order).cast("long").alias("at"))
+    observed = grouped_variants(usable_variants(v)).where(F.size("missense") >= 2).select("gene", F.size("missense").alias("n"), mean_distance(F.col("missense")).alias("observed"))
+    totals = v.groupBy("gene").agg(F.count("*").alias("total")).join(observed, "gene")
+    draws = totals.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
+    draws = draws.select("gene", "observed", "i", (F.floor(F.col("total") * _uniform(F.concat_ws("|", "gene", "i", "j"))) + 1).alias("at"))
+    sets = draws.join(sites, ["gene", "at"]).groupBy("gene", "i", "observed").agg(F.collect_list("pos").alias("pos"))
+    x = mean_distance(F.col("pos"))
     smaller = F.sum(at_most(x, F.col("observed")).cast("int"))
     return sets.groupBy("gene", "observed").agg(F.round(monte_carlo_p(smaller, F.count("*")), 9).alias("p")).select("gene", F.round("observed", 6).alias("observed"), "p")
 
@@ -202,9 +200,7 @@ def share_allocation(spark, sf_dir):
 def kmer_count(spark, sf_dir):
     """Every 3-mer of the whole texts. A text becomes an array of characters once, so its length counts once."""
     c = _table(spark, sf_dir, "documents").where(F.length("text") >= 3).select(F.split("text", "").alias("c"))
-    at = lambda i: F.element_at("c", i)
-    kmers = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
-    return c.select(F.explode(kmers).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return c.select(F.explode(C.kmers(F.col("c"), 3)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @_query(
@@ -216,7 +212,7 @@ def kmer_rate_join(spark, sf_dir):
     """Contexts meet their rates; an unknown one has rate 0."""
     k = _table(spark, sf_dir, "part").where(F.length("p_type") >= 3).select("p_brand", F.explode(F.transform(F.sequence(F.lit(1), F.length("p_type") - 2), lambda i: F.substring(F.col("p_type"), i, F.lit(3)))).alias("kmer"))
     r = k.groupBy("kmer").agg(F.count("*").alias("c")).where("c % 2 = 0").select("kmer", (F.col("c") / 1000.0).alias("mu"))
-    return k.join(r, "kmer", "left").groupBy("p_brand").agg(F.round(F.sum(F.coalesce("mu", F.lit(0.0))), 6).alias("mu"), F.count("*").alias("n"))
+    return with_context_rates(k, r, ["kmer"]).groupBy("p_brand").agg(F.round(F.sum("mu"), 6).alias("mu"), F.count("*").alias("n"))
 
 
 @_query(
@@ -263,8 +259,8 @@ def structure_distance(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").where("embedding is not null")
     point = F.struct(*[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate("xyz", 1)])
     g = e.groupBy("label", F.floor(F.col("vec_id") / 20).alias("block")).agg(F.sort_array(F.collect_list(point)).alias("points"))
-    d = distances_3d(F.col("points"))
-    return g.where(F.size("points") > 1).select("label", "block", F.size(d).cast("long").alias("n"), F.round(geometric_mean(d), 6).alias("dist"))
+    n = F.size("points").cast("long")
+    return g.where(n > 1).select("label", "block", F.floor(n * (n - 1) / 2).alias("n"), F.round(mean_distance_3d(F.col("points")), 6).alias("dist"))
 
 
 @_query(
@@ -295,8 +291,7 @@ def greedy_transcript_cover(spark, sf_dir):
 def leftover_anti(spark, sf_dir):
     """Variants at positions that nothing has consumed; repeats go or stay together."""
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.hour("ts").alias("h"))
-    used = e.where("event_type = 'purchase'").select("user_id", "h").distinct()
-    return e.where("event_type = 'error'").join(used, ["user_id", "h"], "left_anti").select("user_id", "event_id", "h")
+    return left_over(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), ["user_id", "h"]).select("user_id", "event_id", "h")
 
 
 @_query(
@@ -329,8 +324,7 @@ def masked_sum(spark, sf_dir):
 def valid_structure(spark, sf_dir):
     """Whether a structure's residues run from its first number without a gap or a repeat, in few chains."""
     g = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.size(F.collect_set("role")).alias("chains"))
-    whole = F.col("turns") == F.sequence(F.lit(0).cast("long"), F.size("turns").cast("long") - 1)
-    return g.select("conv_id", F.size("turns").cast("long").alias("n"), (whole & (F.col("chains") <= 3)).alias("valid"))
+    return g.select("conv_id", F.size("turns").cast("long").alias("n"), (without_gap(F.col("turns"), 0) & (F.col("chains") <= 3)).alias("valid"))
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -339,7 +333,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 @_query("SELECT c_nationkey, " + ", ".join(f"round(sum(c_acctbal) FILTER (c_mktsegment = '{s}'), 4) AS {s.lower()}_rate" for s in SEGMENTS) + " FROM customer GROUP BY c_nationkey")
 def gene_rates_pivot(spark, sf_dir):
     """One row per gene, a column of summed rates per class."""
-    p = _table(spark, sf_dir, "customer").groupBy("c_nationkey").pivot("c_mktsegment", list(SEGMENTS)).agg(F.sum("c_acctbal"))
+    p = rates_by_class(_table(spark, sf_dir, "customer").withColumnRenamed("c_acctbal", "mu"), "c_nationkey", "c_mktsegment", list(SEGMENTS))
     return p.select("c_nationkey", *[F.round(s, 4).alias(f"{s.lower()}_rate") for s in SEGMENTS])
 
 
@@ -372,13 +366,16 @@ _RATES_SQL = "(VALUES " + ", ".join("('{}', '{}', {}::DOUBLE)".format(*x.split()
 _SEQUENCE_SQL = " || ".join(["md5(CAST(u AS VARCHAR))", *[f"md5(u || '|{i}')" for i in range(1, PARTS)]])
 
 
-@_query(
-    f"""WITH t AS (SELECT CAST(u AS VARCHAR) AS gene, translate({_SEQUENCE_SQL}, '0123456789abcdef', 'ACGTACGTACGTACGT') AS g FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL)),
+_SITES_SQL = f"""WITH t AS (SELECT CAST(u AS VARCHAR) AS gene, translate({_SEQUENCE_SQL}, '0123456789abcdef', 'ACGTACGTACGTACGT') AS g FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL)),
  b AS (SELECT gene, g, unnest(range({FIRST}, {LAST + 1})) AS bp FROM t),
  c AS (SELECT gene, bp, substr(g, bp - 1, 3) AS kmer, substr(g, {FIRST} + (bp - {FIRST}) // 3 * 3, 3) AS codon, (bp - {FIRST}) % 3 AS site, least(bp - {FIRST}, {LAST} - bp) + 1 AS dist, unnest(['A', 'C', 'G', 'T']) AS base FROM b),
  a AS (SELECT gene, kmer, substr(kmer, 1, 1) || base || substr(kmer, 3, 1) AS kmer_to, dist, {_CODE_SQL.format("codon")} AS aa, {_CODE_SQL.format("(substr(codon, 1, site) || base || substr(codon, site + 2))")} AS new FROM c WHERE substr(kmer, 2, 1) <> base),
- q AS (SELECT gene, coalesce(mu, 0) AS mu, CASE WHEN aa <> '*' AND new = '*' THEN 'nonsense' WHEN aa <> new THEN 'missense' WHEN dist < 4 THEN 'splice_region' ELSE 'synonymous' END AS consequence FROM a LEFT JOIN {_RATES_SQL} ON a.kmer = r.kmer AND a.kmer_to = r.kmer_to)
- SELECT gene, consequence, count(*) AS n, round(log10(sum(mu)), 6) AS rate FROM q GROUP BY gene, consequence
+ q AS (SELECT gene, coalesce(mu, 0) AS mu, CASE WHEN aa <> '*' AND new = '*' THEN 'nonsense' WHEN aa <> new THEN 'missense' WHEN dist < 4 THEN 'splice_region' ELSE 'synonymous' END AS consequence FROM a LEFT JOIN {_RATES_SQL} ON a.kmer = r.kmer AND a.kmer_to = r.kmer_to)"""
+
+
+@_query(
+    _SITES_SQL
+    + """ SELECT gene, consequence, count(*) AS n, round(log10(sum(mu)), 6) AS rate FROM q GROUP BY gene, consequence
  UNION ALL SELECT gene, 'loss_of_function', count(*), round(log10(sum(mu)), 6) FROM q WHERE consequence = 'nonsense' GROUP BY gene"""
 )
 def site_rates(spark, sf_dir):
@@ -387,9 +384,48 @@ def site_rates(spark, sf_dir):
     return sites.groupBy("gene", "consequence").agg(F.count("*").alias("n"), F.round(log10_or_null(F.sum("mu")), 6).alias("rate"))
 
 
+_RATE_COLUMNS = ("missense_rate", "nonsense_rate", "splice_lof_rate", "splice_region_rate", "synonymous_rate", "frameshift_rate")
+
+
+@_query(
+    _SITES_SQL
+    + f""", p AS (SELECT gene, {", ".join(f"log10(sum(mu) FILTER (consequence = '{c.removesuffix('_rate')}')) AS {c}" for c in _RATE_COLUMNS[:5])}, sum(mu) FILTER (consequence = 'nonsense') AS burden FROM q GROUP BY gene)
+ SELECT gene AS transcript_id, '1' AS chrom, {LAST - FIRST} AS length, {", ".join(f"round({c}, 6) AS {c}" for c in _RATE_COLUMNS[:5])},
+ CASE WHEN burden IS NOT NULL THEN round(log10({LAST - FIRST} / (sum({LAST - FIRST}) OVER ())::DOUBLE * sum(burden) OVER () * 1.25), 6) END AS frameshift_rate FROM p"""
+)
+def gene_rates_users(spark, sf_dir):
+    """The rates job on users' genes."""
+    transcripts = _user_transcripts(spark, sf_dir)
+    out = gene_rates(transcripts.select(F.col("gene").alias("symbol"), F.col("tx").alias("transcript_id")), transcripts, read_context_rates(spark))
+    return out.select("transcript_id", "chrom", "length", *[F.round(c, 6).alias(c) for c in _RATE_COLUMNS])
+
+
+def _user_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).withColumn("pos", F.lit(FIRST) + F.col("pos") % (LAST - FIRST + 1))
+
+
+@_query(
+    EVENTS_SQL
+    + f""", e AS (SELECT gene, cls, pos % {LAST - FIRST + 1} AS pos, row_number() OVER (PARTITION BY gene, cls ORDER BY event_id) AS k FROM v WHERE cls IS NOT NULL),
+ t AS (SELECT gene FROM e GROUP BY gene HAVING count(*) >= 2), c AS (SELECT unnest(['missense', 'nonsense']) AS cls),
+ n AS (SELECT gene, cls, CAST(count(*) AS INTEGER) AS events_n FROM e GROUP BY gene, cls),
+ p AS (SELECT a.gene, a.cls, abs(a.pos - b.pos) AS d FROM e a JOIN e b ON a.gene = b.gene AND a.cls = b.cls AND a.k < b.k),
+ m AS (SELECT gene, cls, CASE WHEN bool_or(d = 0) THEN exp(avg(ln(d + 1))) - 1 ELSE exp(avg(ln(CASE WHEN d = 0 THEN 1 ELSE d END))) END AS x FROM p GROUP BY gene, cls)
+ SELECT t.gene AS gene_id, c.cls AS mutation_category, coalesce(events_n, 0) AS events_n, coalesce(printf('%.1f', x), 'nan') AS dist FROM t CROSS JOIN c LEFT JOIN n ON n.gene = t.gene AND n.cls = c.cls LEFT JOIN m ON m.gene = t.gene AND m.cls = c.cls"""
+)
+def cluster_observed_users(spark, sf_dir):
+    """The clustering job up to its simulations: users' events as variants of their genes, at the coding position of the minute."""
+    return observed_clustering(_user_variants(spark, sf_dir), _user_transcripts(spark, sf_dir))
+
+
 @_query()
 def cluster_users(spark, sf_dir):
-    """The clustering job: users' events as variants of their genes, at the coding position of the minute. Simulations end
-    after the first thousand."""
-    v = _variants(spark, sf_dir).withColumn("pos", F.lit(FIRST) + F.col("pos") % (LAST - FIRST + 1))
-    return cluster(v, _user_transcripts(spark, sf_dir), read_context_rates(spark), iterations=1_000, most=2_000).select("gene_id", "mutation_category", "events_n", "dist", F.round("probability", 9).alias("probability"))
+    """The clustering job as a whole. A thousand simulations first; tests that they do not decide go on in rounds of a million and
+    more, up to ten million."""
+    return cluster(_user_variants(spark, sf_dir), _user_transcripts(spark, sf_dir), read_context_rates(spark), iterations=1_000, most=10_000_000).select("gene_id", "mutation_category", "events_n", "dist", F.round("probability", 9).alias("probability"))
+
+
+@_query(EVENTS_SQL + " SELECT gene FROM v WHERE event_type = 'error' GROUP BY gene HAVING count(*) > 1")
+def batch_gate(spark, sf_dir):
+    """Genes that make a batch."""
+    return many_missense(_events(spark, sf_dir))

@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,5 +50,9 @@ def structures_of_genes(residues: DataFrame, proteins: DataFrame) -> DataFrame:
     single = found.groupBy("gene").agg(F.min("file").alias("file"), F.count("*").alias("n")).where("n = 1").select("gene", "file")
     checked = residues.withColumn("residue_num", F.when(F.col("copies") > 1, F.raise_error(F.concat(F.lit("an atom is seen twice in "), "file")).cast("int")).otherwise(F.col("residue_num")))
     rows = checked.join(single, "file").groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("residue_num", "x", "y", "z"))).alias("coords"), F.countDistinct("chain").alias("n_chains"))
-    numbers = F.transform("coords", lambda c: c["residue_num"])
-    return rows.withColumn("whole", numbers == F.sequence(F.lit(1), F.size("coords")))
+    return rows.withColumn("whole", without_gap(F.transform("coords", lambda c: c["residue_num"]), 1))
+
+
+def without_gap(numbers: Column, first: int) -> Column:
+    """Whether sorted numbers run from the first one on without a gap or a repeat."""
+    return F.coalesce((F.array_min(numbers) == first) & (F.array_max(numbers) == first + F.size(numbers) - 1) & (F.size(F.array_distinct(numbers)) == F.size(numbers)), F.lit(False))
