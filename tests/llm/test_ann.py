@@ -50,3 +50,30 @@ def test_copies_take_one_place_of_the_shortlist(spark):
     assert [v for q, _, v in got if q == 0] == [2002, 2001, 2000, *range(1, 18)]
     assert [v for q, _, v in got if q == 500] == [2002, 2001, 2000, *range(17)]
     assert len([v for q, _, v in got if q == 3000]) == 20
+
+
+def test_structured_vectors_are_found_in_few_cells(spark, monkeypatch):
+    """Clusters: a query reads a part of the lists. Random directions: nearly all."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    cells = ann.fit_cells(x, 32)
+    assert cells.probes <= 8 and ann.fit_cells(rng.normal(size=(2000, 64)), 32).probes > 16
+    assert ann.fit_cells(x[:1], 5).probes == 1
+    monkeypatch.setattr(ann, "CODE_BLOCK", 125)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, shortlist=60).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 4000, 100):
+        s = x @ x[q]
+        s[q] = -math.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (40 * 20) >= 0.9
+
+
+def test_refitted_words_are_nearer():
+    x = np.random.default_rng(4).normal(size=(800, 12))
+    error = lambda m: ((x - m.decode(m.encode(x))) ** 2).sum()
+    assert error(ann.fit(x, 4, 16, refits=2)) < error(ann.fit(x, 4, 16, refits=0))
