@@ -149,6 +149,58 @@ def test_marks_never_take_an_article():
     assert inside("<main><p>Text</p></main><aside><article>Teaser</article></aside><div class='comments'><article>Reply</article></div>") == ["Text"]
 
 
+def test_article_text_is_not_lost():
+    inside = lambda body: html_extract.blocks_of(page(body)[1])[0]
+    for body in ('<div class="section-header"><h2>Results</h2></div>', '<h2 id="related-work">Results</h2>', '<p class="notice-board">Results</p>', '<section id="search"><p>Results</p></section>', '<h3 id="comments-and-notes">Results</h3>', '<div class="section"><div class=ad>Buy</div><p>Results</p></div>'):
+        assert inside(f"<article><p>One</p>{body}<p>Two</p></article>") == ["One", "Results", "Two"], body
+    for body in ("<section><div class=ad>Buy</section>", "<div class=ad>Buy", "<section><div class=ad><div>Buy</div></section>", "<ul><li class=ad>Buy</ul>", "<p class=ad>Buy", "<section><aside>Buy<p>more</p></section>"):
+        assert inside(f"<article><p>One</p>{body}<p>Two</p></article>") == ["One", "Two"], body
+    assert inside("<article><p>One</p><section id='comments'><p>Nice</p></section></article>") == ["One"]
+
+
+def test_tags_are_found_in_linear_time():
+    import time
+
+    for part in ('<a x="', "<a x='1> ", '<a ">" ', "<!x ", "<", "<script ", "<!-- ", "<div class=ad>", "<article>", "</p><p ", "<p>x", "<a b=\"c\" d='"):
+        start = time.time()
+        html_extract.blocks_of(part * (1_000_000 // len(part)))
+        assert time.time() - start < 15, part
+    names = [(t.name, t.close, t.attributes) for t in html_extract.tokens_of("<P a='>'>x</p ><br/><!-- <b> --><script>'<i>'</script><?x?>< b <3 <i x=\"y>z")]
+    assert names == [("p", False, " a='>'"), ("p", True, " "), ("br", False, "/"), (None, False, ""), (None, False, ""), (None, False, ""), ("i", False, ' x="y')]
+
+
+def test_repeated_runs_equal_brute_force(spark):
+    """Pages without an article: words in runs that two pages of a host share go."""
+    rng = random.Random(8)
+    shared = [" ".join(f"s{rng.randrange(40)}" for _ in range(rng.randrange(6, 15))) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        blocks = [rng.choice(shared) if rng.random() < 0.5 else " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 12))) for _ in range(6)]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<div>{b}</div>" for b in blocks), blocks))
+    where: dict = {}
+    for i, url, _, blocks in rows:
+        w = " ".join(blocks).split()
+        for a in range(len(w) - html_extract.RUN + 1):
+            where.setdefault((url.split("/")[2], tuple(w[a : a + html_extract.RUN])), set()).add(i)
+    want = {}
+    for i, url, _, blocks in rows:
+        w = " ".join(blocks).split()
+        covered = [a for a in range(len(w) - html_extract.RUN + 1) if len(where[url.split("/")[2], tuple(w[a : a + html_extract.RUN])]) > 1]
+        gone, out, at = {a + j for a in covered for j in range(html_extract.RUN)}, [], 0
+        for b in blocks:
+            own = b.split()
+            flags = "".join("x" if at + j in gone else "." for j in range(len(own)))
+            for m in re.finditer("x+", flags):  # a short stretch that does not fill its block is chance
+                if len(m[0]) < min(html_extract.RUN, len(own)):
+                    flags = flags[: m.start()] + "." * len(m[0]) + flags[m.end() :]
+            left = " ".join(x for x, f in zip(own, flags) if f == ".")
+            out += [left] if left else []
+            at += len(own)
+        want[i] = "\n".join(out or blocks)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["main_text"] for r in html_extract.extract_main_text(df).collect()} == want
+
+
 def test_extraction(spark):
     menu, foot = "Share this page with all of your friends today please", "Copyright by the people who made this very long line here"
     rows = [(i, *page(f"<div>{menu}</div><p>page number {i} says a{i} b{i}</p><div>{foot}</div>", f"http://h.example/{i}")) for i in range(6)]

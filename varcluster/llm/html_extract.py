@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags, and each block is inside an article (article, main, role=main), inside a
 marked container (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role, class or id), or
-neither. Names mark as whole words or in known compounds. Articles are never marked, nor are elements that enclose one,
+neither. Names mark as whole words or in known compounds; ids of headings, paragraphs and sections are names of places, of
+which only comments and adverts mark. Articles are never marked, nor are elements that enclose one,
 save asides, menus and comments (or what stands inside an article), of which only those that enclose a main are not.
+A container ends where an element around it ends; one that is marked by its name and has no end tag of its own loses its
+first block alone. Tags are found in one pass in linear time: quotes in tags count unless they are never closed.
 Where a page has an article, its text is the article without marked containers: passages that pages share,
 and whole copies of articles, are text there and stay. Where a page has none, its unmarked blocks are judged by what
 the host repeats.
@@ -28,6 +31,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise, mix, table
+from .common import free_name, materialise, mix, released, table
 
 RUN = 8
 #: Element names and the words of roles, classes and ids that mark a container.
@@ -58,8 +62,14 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Elements that end where the next block starts, closed or not.
 OPEN_TAGS = frozenset("p li dt dd option td th tr".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Elements whose id is an anchor, and the words that mark them all the same.
+ANCHOR_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p section li dt dd td th".split())
+ANCHOR_WORDS = frozenset("ad ads advert adverts advertisement advertising comments disqus replies sponsored".split())
+
+_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9]*)")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW_TAGS}
+_STOP = re.compile(r"[>\"']")
+_MARK = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?\s*main\b(?!-)", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -70,15 +80,74 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _marks(attributes: str) -> set[str]:
+class Token(NamedTuple):
+    """A tag, or a stretch without text (a comment, a script), whose name is None."""
+
+    start: int
+    end: int
+    name: str | None = None
+    close: bool = False
+    attributes: str = ""
+
+
+def tokens_of(page: str) -> list[Token]:
+    """The tags of a page in order, in one pass. Where a tag's quotes leave it without an end, quotes no longer count from
+    there on, so no stretch is looked at more than twice."""
+    out: list[Token] = []
+    quotes, at = True, page.find("<")
+    while at >= 0:
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            out.append(Token(at, end))
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            if not end:
+                break
+            out.append(Token(at, end))
+        elif found := _NAME.match(page, at + 1):
+            close = -1
+            if quotes:
+                close = _tag_end(page, found.end())
+                quotes = close >= 0
+            if close < 0:
+                close = page.find(">", found.end())
+                if close < 0:
+                    break
+            name, end = found[2].lower(), close + 1
+            if name in _RAW_END and not found[1]:
+                raw = _RAW_END[name].search(page, end)
+                end = raw.end() if raw else len(page)
+                out.append(Token(at, end))
+            else:
+                out.append(Token(at, end, name, bool(found[1]), page[found.end() : close]))
+        at = page.find("<", end if end >= 0 else at + 1)
+    return out
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the first > outside quotes, or -1."""
+    while found := _STOP.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        closing = page.find(found[0], found.end())
+        at = found.end() if closing < 0 else closing + 1
+    return -1
+
+
+def _marks(name: str, attributes: str) -> set[str]:
     """The marked words that the class, id and roles of an element are made of."""
     found = set()
     for m in _MARK.finditer(attributes):
-        for token in m[1].lower().strip("\"'").split():
+        anchor = name in ANCHOR_TAGS and m[1].lower() == "id"
+        for token in m[2].lower().strip("\"'").split():
             parts = [w for w in re.split(r"[^a-z]+", token) if w]
             if not parts or len(parts) > 1 and parts[0] in STATES:
                 continue
-            if len(parts) == 1 and parts[0] in MARKED_WORDS or len(parts) > 1 and parts[-1] in MARKED_ENDS:
+            if anchor:
+                found.update(parts if len(parts) == 1 and parts[0] in ANCHOR_WORDS else ())
+            elif len(parts) == 1 and parts[0] in MARKED_WORDS or len(parts) > 1 and parts[-1] in MARKED_ENDS:
                 found.add(parts[-1])
             elif len(parts) > 1 and parts[0] in MARKED_WORDS and all(w in HOLDERS for w in parts[1:]):
                 found.add(parts[0])
@@ -89,27 +158,31 @@ def _opens_article(name: str, attributes: str) -> bool:
     return name in ARTICLE_TAGS or bool(attributes) and _MAIN.search(attributes) is not None
 
 
-def _enclosing(tokens: list[re.Match]) -> tuple[set[int], set[int]]:
-    """The numbers of the tokens that open an element with an article or main inside, and of those with a main."""
+def _enclosing(tokens: list[Token]) -> tuple[set[int], set[int], dict[int, int]]:
+    """The numbers of the tokens that open an element with an article or main inside, and of those with a main; and for each
+    that opens an element without an end tag of its own, the token that ends it, as the end of one around it does."""
     stack: list[tuple[str, int]] = []
     often: dict[str, int] = {}
-    any_, main = set(), set()
+    any_, main, left = set(), set(), {}
     for k, m in enumerate(tokens):
-        if m[3] is None:
+        if m.name is None:
             continue
-        name = m[3].lower()
-        if m[2]:
+        name = m.name
+        if m.close:
             while often.get(name):
-                last = stack.pop()[0]
+                last, opened = stack.pop()
                 often[last] -= 1
                 if last == name:
                     break
+                left[opened] = k
             continue
-        if name in VOID_TAGS or m[4].endswith("/") and name not in BLOCK_TAGS:
+        if name in VOID_TAGS or m.attributes.endswith("/") and name not in BLOCK_TAGS:
             continue
         while stack and stack[-1][0] in OPEN_TAGS and (stack[-1][0] == name or stack[-1][0] == "p" and name in BLOCK_TAGS):
-            often[stack.pop()[0]] -= 1
-        if _opens_article(name, m[4]):
+            last, opened = stack.pop()
+            often[last] -= 1
+            left[opened] = k
+        if _opens_article(name, m.attributes):
             for seen in (any_,) if name == "article" else (any_, main):
                 for _, at in reversed(stack):
                     if at in seen:
@@ -117,7 +190,8 @@ def _enclosing(tokens: list[re.Match]) -> tuple[set[int], set[int]]:
                     seen.add(at)
         stack.append((name, k))
         often[name] = often.get(name, 0) + 1
-    return any_, main
+    left.update((opened, len(tokens)) for _, opened in stack)
+    return any_, main, left
 
 
 def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
@@ -128,35 +202,39 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
     parts: list[str] = []
     articles: list[list] = []  # the open ones: tag, and how many of that tag are open since
     skip, skip_tag, at = 0, "", 0
-    tokens = list(_TOKEN.finditer(page))
-    around, around_main = _enclosing(tokens)
-
-    def close() -> None:
-        if parts:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
-            if text:
-                if articles and not skip:
-                    inside.append(text)
-                else:
-                    outside.append((text, not skip))
-            parts.clear()
+    until, first = -1, False  # the token that ends a container without an end tag; whether its first block does
+    tokens = tokens_of(page)
+    around, around_main, left = _enclosing(tokens)
+
+    def close() -> bool:
+        """Whether there was a text."""
+        text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip() if parts else ""
+        if text:
+            if articles and not skip:
+                inside.append(text)
+            else:
+                outside.append((text, not skip))
+        parts.clear()
+        return bool(text)
 
     for k, m in enumerate(tokens):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
+        if m.start > at:
+            parts.append(page[at : m.start])
+        at = m.end
+        name = m.name
         if name is None:
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
         block, marked = name in BLOCK_TAGS, name in MARKED_TAGS
-        if m[2]:
+        if skip and (k == until or first and block):
+            if close() or k == until:
+                skip, until, first = 0, -1, False
+        if m.close:
             if block or name == skip_tag:
                 close()
-            if skip and name == skip_tag:
+            if skip and until < 0 and name == skip_tag:
                 skip -= 1
             elif not skip:
                 for i in range(len(articles) - 1, -1, -1):
@@ -167,23 +245,23 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
                             del articles[i:]
                         break
             continue
-        attributes = m[4]
+        attributes = m.attributes
         if block or marked:
             close()
-        if skip and skip_tag in OPEN_TAGS and block:
-            skip = 0
         if name in VOID_TAGS or attributes.endswith("/") and name not in BLOCK_TAGS:
             continue
         if skip:
-            skip += name == skip_tag
+            skip += until < 0 and name == skip_tag
             continue
         opens = _opens_article(name, attributes)
-        words = _marks(attributes) if attributes and not opens and name not in ("html", "body") else ()
+        words = _marks(name, attributes) if attributes and not opens and name not in ("html", "body") else ()
         if k in around_main or k in around and not articles and name not in ASIDE_TAGS and REPLY_WORDS.isdisjoint(words):
             marked, words = False, ()  # a wrapper of the page or of its article
         if marked and not opens or words:
             close()
             skip, skip_tag = 1, name
+            until = left.get(k, -1)
+            first = until >= 0 and not marked and name not in OPEN_TAGS
         elif opens:
             close()
             articles.append([name, 1])
@@ -209,7 +287,7 @@ def _parse(url_col: str, html_col: str, names: dict[str, str]):
                 hosts.append(host_of(url))
             yield batch.drop(columns=[html_col]).assign(**{names["text"]: texts, names["outside"]: streams, names["host"]: hosts})
 
-    return run
+    return released(run)
 
 
 def equal_runs(words: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +341,7 @@ def _runs(run: int):
                 out.append(pd.DataFrame({"host": host, "hash": h[heads].view(np.int64), "low": np.minimum.reduceat(of, heads), "high": np.maximum.reduceat(of, heads), "places": places}))
             yield pd.concat(out[1:] or out)
 
-    return send
+    return released(send)
 
 
 def unique_text(stream: list[dict], covered: np.ndarray, run: int) -> str:
