@@ -375,3 +375,15 @@ def test_licenses_of_wrapped_headers(spark):
     for i, label in enumerate(WRAPPED):
         assert got[i] == got[i + 10] == ([label], 1.0)
     assert got[20] == ([], 0.0)
+
+
+def test_templates_beyond_a_batch_and_phrases_that_overlap(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATE_WORDS", 40)
+    assert len(licenses.batches_of([(k, licenses.python_words(t)) for k, v in licenses.TEMPLATES.items() for t in v])) > 3
+    rows = [(i, t) for i, t in enumerate(PAGES)] + [(20, "This work is licensed under the GNU General Public License, version 3."), (21, None)]
+    for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        want = license_brute(r["text"])
+        assert (r["n_words"], r["n_base"], r["base_labels"], r["labels"], r["score"]) == (want[0], want[1], want[4], want[5], want[6]), r["text"]
+        assert r["doc_id"] != 20 or r["labels"] == ["gpl"]
+    out = licenses.license_scan(spark.createDataFrame([(1, "x a b A b a"), (2, "a b"), (3, "aba a-b a")], SCHEMA), phrases={"a b a": "aba", "x a": "x"}).collect()
+    assert [(r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out] == [(3, 0, 3, ["aba", "x"]), (0, None, None, []), (1, 1, 1, ["aba"])]

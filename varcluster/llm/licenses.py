@@ -12,10 +12,11 @@ its labels are among these.) Words are ordered by how many documents hold them,
 so only lines that pass all three are compared in full. Passages are compared in documents that hold enough words of the
 template at all, and begin at each of its words. No block that meets the threshold is lost.
 
-Templates are a fixed list (or a parameter of bounded size, checked), so their words are literals of the plan and the
-frequencies of these words alone come to the driver. The text is read twice and never shuffled: one pass counts, with
-map-side sums; the other splits each text into blocks, filters and verifies within the row. Stated phrases are found
-beside that: a phrase's places are the gaps of a split, counted in words.
+Templates are a list, so their words are literals of the plan and the frequencies of these words alone come to the driver.
+They are taken in batches of TEMPLATE_WORDS words, each with its own order and prefixes; a longer list has more batches. The
+text is read twice and never shuffled: one pass counts, with map-side sums; the other splits each text into blocks,
+filters and verifies within the row. Stated phrases are found beside that: a phrase's places are the gaps of a split,
+counted in words, or, if a phrase can overlap itself, each place where its words stand.
 
 Nulls and edge cases: a null or empty text has no words and no labels, and score 0; a null doc_id passes through;
 repeated rows give repeated rows; ties between templates give all labels; an empty table gives an empty result;
@@ -38,7 +39,7 @@ LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 THRESHOLD = 0.8
-#: Distinct words of all templates at most: they are literals of the plan.
+#: Words of a batch of templates, which are literals of the plan.
 TEMPLATE_WORDS = 2000
 #: Opening sentences of well-known licenses, as their texts have them; fixed values.
 TEMPLATES = {
@@ -48,6 +49,7 @@ TEMPLATES = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
     ],
     "gpl-3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "gpl": ["This work is licensed under the GNU General Public License"],
     "bsd-3": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Released under CC BY-NC 4.0"],
@@ -78,6 +80,10 @@ def phrase_gate(phrase: str) -> str:
     return f"(?i:{(BREAK + '+').join(phrase.split())})"
 
 
+def overlaps_itself(words: list[str]) -> bool:
+    return any(words[:n] == words[-n:] for n in range(1, len(words)))
+
+
 def with_phrases(docs: DataFrame, text: Column, phrases: dict[str, str], names: dict[str, str]) -> DataFrame:
     """docs, which have n_words, with n_base, first_word, last_word and base_labels (an array), over all phrases.
 
@@ -85,9 +91,22 @@ def with_phrases(docs: DataFrame, text: Column, phrases: dict[str, str], names:
     elsewhere, so that no other expression splits again."""
     counts, firsts, lasts, labels, parts = [], [], [], [], {}
     for i, phrase in enumerate(phrases):
-        parts[free_name(docs, f"parts{i}")] = F.when(F.rlike(text, F.lit(phrase_gate(phrase))), F.split(text, phrase_pattern(phrase)))
+        q = phrase.split()
+        if overlaps_itself(q):
+            places = lambda w, q=q: F.filter(F.sequence(F.lit(0), F.size(w)), lambda at: F.slice(w, at + 1, len(q)) == F.array(*map(F.lit, q)))
+            found = F.element_at(F.transform(F.array(words_of(lowered(text))), places), 1)
+        else:
+            found = F.split(text, phrase_pattern(phrase))
+        parts[free_name(docs, f"parts{i}")] = F.when(F.rlike(text, F.lit(phrase_gate(phrase))), found)
     out = docs.withColumns(parts)
     for name, (phrase, label) in zip(parts, phrases.items()):
+        if overlaps_itself(phrase.split()):
+            found = F.col(name).isNotNull() & (F.size(name) > 0)
+            counts.append(F.when(found, F.size(name)).otherwise(0))
+            firsts.append(F.when(found, F.array_min(name)).cast("long"))
+            lasts.append(F.when(found, F.array_max(name)).cast("long"))
+            labels.append(F.when(found, F.lit(label)))
+            continue
         found = F.col(name).isNotNull() & (F.size(name) > 1)
         counts.append(F.when(found, F.size(name) - 1).otherwise(0))
         firsts.append(F.when(found, count_words(F.element_at(name, 1))))
@@ -118,25 +137,26 @@ def word_frequencies(docs: DataFrame, text_col: str, words: list[str]) -> dict[s
     return {r["w"]: r["count"] for r in counted.collect()}
 
 
-def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score, the largest share of a
-    template's words that a block holds (1 for a stated phrase; 0 without any label)."""
-    templates = TEMPLATES if templates is None else templates
-    phrases = PHRASES if phrases is None else phrases
-    lists = [(label, python_words(t)) for label, texts in templates.items() for t in texts]
-    lists = [(label, words) for label, words in lists if words]
+def batches_of(lists: list[tuple[str, list[str]]]) -> list[list[tuple[str, list[str]]]]:
+    """Templates in batches of up to TEMPLATE_WORDS words; a longer template is a batch of its own."""
+    out: list[list[tuple[str, list[str]]]] = []
+    size = 0
+    for label, words in lists:
+        n = len(set(words))
+        if not out or size + n > TEMPLATE_WORDS:
+            out.append([])
+            size = 0
+        out[-1].append((label, words))
+        size += n
+    return out
+
+
+def template_hits(text: Column, lists: list[tuple[str, list[str]]], often: dict[str, int], threshold: float) -> tuple[Column, list[str]]:
+    """array<struct<label, share>> of the blocks that meet a template of one batch, and the words of all prefixes."""
     sets = [(label, sorted(set(words))) for label, words in lists]
     lengths = [math.ceil(len(words) / threshold - 1e-9) for _, words in lists]  # of passages
     known = sorted({w for _, words in sets for w in words})
-    if not known:
-        raise ValueError("no template has a word")
-    if len(known) > TEMPLATE_WORDS:
-        raise ValueError(f"templates have {len(known)} words; {TEMPLATE_WORDS} at most are literals of a plan")
-    often = word_frequencies(docs, text_col, known)
     order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (often.get(w, 0), w)))}
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = {c: free_name(docs, c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
     ranks = F.create_map(*[F.lit(x) for w in known for x in (w, order[w])])
     ordered = [(label, sorted(words, key=order.get)) for label, words in sets]
     needs = [max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words in ordered]
@@ -185,20 +205,36 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, l
         return F.array(*[F.struct(F.lit(label).alias("label"), passage_share(every, words, need, length).alias("share")) for (label, words), need, length in zip(ordered, needs, lengths)])
 
     both = F.concat(F.flatten(F.transform(ranked, verdict)), F.flatten(F.transform(F.array(words_of(lowered(text))), passages)))
-    hits = F.filter(both, lambda h: h["share"].isNotNull())
-    words, got = free_name(docs, "words"), free_name(docs, "hits")
+    return F.filter(both, lambda h: h["share"].isNotNull()), prefixes
+
+def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score, the largest share of a
+    template's words that a block holds (1 for a stated phrase; 0 without any label)."""
+    templates = TEMPLATES if templates is None else templates
+    phrases = PHRASES if phrases is None else phrases
+    lists = [(label, python_words(t)) for label, texts in templates.items() for t in texts]
+    lists = [(label, words) for label, words in lists if words]
+    if not lists:
+        raise ValueError("no template has a word")
+    often = word_frequencies(docs, text_col, sorted({w for _, words in lists for w in words}))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = {c: free_name(docs, c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
+    batches = [template_hits(text, batch, often, threshold) for batch in batches_of(lists)]
+    words = free_name(docs, "words")
+    got = [free_name(docs, f"hits{i}") for i in range(len(batches))]
     ends = lambda at: F.element_at(words, at) == ""
     n_words = F.size(words) - ends(1).cast("int") - (ends(-1) & (F.size(words) > 1)).cast("int")
     out = docs.withColumn(words, F.split(F.lower(text), BREAK + "+"))
-    out = out.withColumns({names["n_words"]: n_words.cast("long"), got: F.arrays_overlap(words, F.array(*map(F.lit, prefixes)))}).drop(words)
-    out = with_phrases(out, text, phrases, names).withColumn(got, F.when(F.col(got), hits))
-    met = F.coalesce(F.transform(F.col(got), lambda h: h["label"]), F.array().cast("array<string>"))
+    out = out.withColumns({names["n_words"]: n_words.cast("long"), **{g: F.arrays_overlap(words, F.array(*map(F.lit, prefixes))) for g, (_, prefixes) in zip(got, batches)}}).drop(words)
+    out = with_phrases(out, text, phrases, names).withColumns({g: F.when(F.col(g), hits) for g, (hits, _) in zip(got, batches)})
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    met = F.concat(*[F.coalesce(F.col(g), none) for g in got])
     return out.withColumns(
         {
-            names["labels"]: F.array_sort(F.array_union(F.col(names["base_labels"]), met)),
-            names["score"]: F.when(F.size(names["base_labels"]) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(F.col(got), lambda h: h["share"])), F.lit(0.0))),
+            names["labels"]: F.array_sort(F.array_union(F.col(names["base_labels"]), F.transform(met, lambda h: h["label"]))),
+            names["score"]: F.when(F.size(names["base_labels"]) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(met, lambda h: h["share"])), F.lit(0.0))),
         }
-    ).drop(got)
+    ).drop(*got)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
