@@ -84,6 +84,11 @@ def overlaps_itself(words: list[str]) -> bool:
     return any(words[:n] == words[-n:] for n in range(1, len(words)))
 
 
+def places_of(phrase: list[str]):
+    """A function of an array of words: the places, from 0, at which the phrase's words stand."""
+    return lambda every: F.filter(F.sequence(F.lit(0), F.size(every)), lambda at: F.slice(every, at + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
+
+
 def with_phrases(docs: DataFrame, text: Column, phrases: dict[str, str], names: dict[str, str]) -> DataFrame:
     """docs, which have n_words, with n_base, first_word, last_word and base_labels (an array), over all phrases.
 
@@ -93,8 +98,7 @@ def with_phrases(docs: DataFrame, text: Column, phrases: dict[str, str], names:
     for i, phrase in enumerate(phrases):
         q = phrase.split()
         if overlaps_itself(q):
-            places = lambda w, q=q: F.filter(F.sequence(F.lit(0), F.size(w)), lambda at: F.slice(w, at + 1, len(q)) == F.array(*map(F.lit, q)))
-            found = F.element_at(F.transform(F.array(words_of(lowered(text))), places), 1)
+            found = F.element_at(F.transform(F.array(words_of(lowered(text))), places_of(q)), 1)
         else:
             found = F.split(text, phrase_pattern(phrase))
         parts[free_name(docs, f"parts{i}")] = F.when(F.rlike(text, F.lit(phrase_gate(phrase))), found)
