@@ -14,6 +14,7 @@ from ..sources.annotation import read_transcripts
 from ..sources.rates import read_context_rates, read_genome_rates
 from ..sources.structures import read_pdb_lines, residues_of, structures_of_genes
 from ..sources.variants import read_gene_list, read_variants
+from ..storage import remove_all
 from . import api
 
 
@@ -63,6 +64,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"varcluster {args.job}").getOrCreate()
     rows = run(spark, args)
     rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in rows.columns]).write.csv(args.out, sep="\t", header=True)
+    remove_all(spark)
 
 
 if __name__ == "__main__":
