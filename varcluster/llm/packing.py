@@ -36,7 +36,7 @@ END_ID = 1
 #: Pieces that wait in a map task before it packs them.
 WINDOW = 50_000
 #: Bytes of words and their ids that a task remembers, what Python's own objects take included.
-KNOWN_BYTES, KNOWN_COST = 64 << 20, 180
+KNOWN_BYTES, KNOWN_COST = 96 << 20, 180
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
