@@ -240,9 +240,9 @@ def _cut(large: DataFrame, threshold: float) -> DataFrame:
 
 
 def _as_group(rows: DataFrame, **own: Column) -> DataFrame:
-    """rows with what a group of texts needs beside them."""
-    plain = {"whole": F.lit(True), "side": F.lit(0), "within": F.lit(True), "core": F.lit(None).cast("binary"), "bands": F.lit(None).cast("array<long>"), "band": F.lit(None).cast("long")}
-    return rows.withColumns({**plain, **own}).select("text", "key", "copies", "group", *plain)
+    """rows with what a group needs beside its texts; a group that is not `shared` has a place of its own."""
+    plain = {"whole": F.lit(True), "shared": F.lit(True), "side": F.lit(0), "within": F.lit(True), "core": F.lit(None).cast("binary"), "bands": F.lit(None).cast("array<long>"), "band": F.lit(None).cast("long")}
+    return rows.withColumns({**plain, **own}).select("rep", "key", "copies", "group", *plain)
 
 
 def _compare_large(large: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -286,18 +286,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     large = members.where(F.col("n") > CHUNK)
     some_large = not large.isEmpty()
     verdict = "key binary, links long, root binary, whole boolean"
-    send = lambda x: texts.join(x.hint("shuffle_merge"), F.col("id") == F.col("rep"))
-    spread = lambda x: x.select("*", F.pmod(F.xxhash64("group"), F.lit(8 * parts)).alias("g")).repartition(parts, "g").groupBy("g").applyInPandas(_verify(threshold, width), verdict)
-    small = _as_group(send(members.where(F.col("n") <= CHUNK).select("key", "rep", "copies", "group")))
+    groups = _as_group(members.where(F.col("n") <= CHUNK))
     if some_large:
-        groups, cores = _compare_large(large, classes, threshold)
-        in_bands = _as_group(send(groups), whole=F.lit(False), core=F.col("core"), bands=F.col("bands"), band=F.col("band"), group=F.col("band").cast("string").cast("binary"))
-        sent = send(cores).withColumn("to", F.explode("to"))
-        pairs = _as_group(sent, whole=F.lit(False), side=F.col("to.side"), within=~F.col("to.cross") & (F.col("to.i") == F.col("to.j")), group=F.concat(F.col("root"), F.concat_ws("|", "to.step", "to.cross", "to.i", "to.j").cast("binary")))
-        pairs = pairs.repartition(parts, "group").groupBy("group").applyInPandas(_verify(threshold, width), verdict)
-        checked = materialise(spread(small.union(in_bands)).union(pairs), "verified")
-    else:
-        checked = materialise(spread(small), "verified")
+        in_bands, cores = _compare_large(large, classes, threshold)
+        in_bands = _as_group(in_bands, whole=F.lit(False), core=F.col("core"), bands=F.col("bands"), band=F.col("band"), group=F.col("band").cast("string").cast("binary"))
+        cores = cores.withColumn("to", F.explode("to"))
+        pairs = _as_group(cores, whole=F.lit(False), shared=F.lit(False), side=F.col("to.side"), within=~F.col("to.cross") & (F.col("to.i") == F.col("to.j")), group=F.concat(F.col("root"), F.concat_ws("|", "to.step", "to.cross", "to.i", "to.j").cast("binary")))
+        groups = groups.union(in_bands).union(pairs)
+    place = F.when(F.col("shared"), F.pmod(F.xxhash64("group"), F.lit(8 * parts))).otherwise(F.xxhash64("group"))
+    sent = texts.join(groups.hint("shuffle_merge"), F.col("id") == F.col("rep")).withColumn("g", place).drop("id", "rep", "shared")  # texts are read and shuffled once
+    checked = materialise(sent.repartition(parts, "g").groupBy("g").applyInPandas(_verify(threshold, width), verdict), "verified")
     found = checked.where("whole").select("key", "links", "root")
     if some_large:
         counts = checked.where("not whole").groupBy("key").agg(F.sum("links").alias("links"))
