@@ -16,8 +16,8 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     (Kiveris and others, 2014): large-star links larger neighbours to the least neighbour, small-star the smaller ones.
     Both keep components; the edges become stars in a logarithmic number of rounds. A hot node's neighbours are only
     counted and minimised, which combines before the shuffle; what is found for hot nodes, of which there are few, is
-    broadcast to their edges, so no task holds a hub's. Each round's edges are written to the shared folder, and those of
-    the round before go. Null ends and loops count as no link."""
+    broadcast to their edges, so no task holds a hub's. The edges of each half of a round are written to the shared
+    folder, and those before them go. Null ends and loops count as no link."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges, folder = written_at(edges, "links")
     before = _sums(edges)
@@ -26,11 +26,12 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = hot_join(both.where("v > u"), least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large, between = written_at(large, "large-star")  # else each of its uses below would plan it again
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = hot_join(large, least, "u", "n", total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         old = folder
         edges, folder = written_at(small, "links")
-        remove(links.sparkSession, old)
+        remove(links.sparkSession, old, between)
         now = _sums(edges)
         if now == before:
             break
