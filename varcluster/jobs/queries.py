@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coding as C
-from ..functions.stats import at_most, fisher, log10_or_null, mean_distance, mean_distance_3d, monte_carlo_p, with_share
+from ..functions.stats import at_most, counted_mean_distance, fisher, log10_or_null, mean_distance, mean_distance_3d, monte_carlo_p, with_share
 from ..operators.cover import greedy_cover, in_intervals, left_over, most_held
+from ..operators.intervals import joined_intervals, nearest_intervals
 from ..operators.sites import drawn, rates_by_class, site_table, unmasked, with_context_rates, with_prefix_sums
 from ..sources.annotation import merged_intervals
 from ..sources.rates import read_context_rates
 from ..sources.trinucleotide_rates import TRINUCLEOTIDE_RATES
 from ..sources.structures import without_gap
-from ..sources.variants import enough_variants, grouped_variants, many_missense, usable_variants
+from ..sources.variants import counted_positions, enough_variants, grouped_variants, many_missense, usable_variants
 from .api import cluster, gene_rates, observed_clustering
 
 
@@ -75,8 +76,8 @@ def min_events_gate(spark, sf_dir):
 )
 def pairwise_geomean(spark, sf_dir):
     """The geometric mean of all distances between a gene's missense positions."""
-    n = F.size("missense").cast("long")
-    return grouped_variants(_variants(spark, sf_dir)).where(n > 1).select("gene", F.floor(n * (n - 1) / 2).alias("n_pairs"), F.round(mean_distance(F.col("missense")), 6).alias("dist"))
+    n = F.col("n")
+    return counted_positions(_variants(spark, sf_dir), "missense").where(n > 1).select("gene", F.floor(n * (n - 1) / 2).alias("n_pairs"), F.round(counted_mean_distance(F.col("places")), 6).alias("dist"))
 
 
 @_query(
@@ -99,10 +100,10 @@ def range_join_in_interval(spark, sf_dir):
 )
 def nearest_interval(spark, sf_dir):
     """The closest exon of each variant."""
-    e = _table(spark, sf_dir, "events").select("user_id", F.col("event_id"), "event_type")
-    exons = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").cast("int").alias("s"), (F.col("event_id") + 2).cast("int").alias("e")))).alias("exons"))
-    near = C.closest_exon(F.col("event_id"), F.col("exons"))
-    return e.where("event_type = 'error'").join(exons, "user_id").select("user_id", "event_id", near.alias("near")).select("user_id", "event_id", F.col("near.gap").cast("long").alias("gap"), "near.s", "near.e")
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    exons = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 2).alias("e"))
+    near = nearest_intervals(exons, e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("at")), "user_id")
+    return near.select("user_id", F.col("at").alias("event_id"), "gap", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
 
 
 @_query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM events")
@@ -158,7 +159,7 @@ def mc_pvalue(spark, sf_dir):
     v = _events(spark, sf_dir)
     order = Window.partitionBy("gene").orderBy("pos")
     sites = v.select("gene", "pos", F.row_number().over(order).cast("long").alias("at"))
-    observed = grouped_variants(usable_variants(v)).where(F.size("missense") >= 2).select("gene", F.size("missense").alias("n"), mean_distance(F.col("missense")).alias("observed"))
+    observed = counted_positions(usable_variants(v), "missense").where("n >= 2").select("gene", "n", counted_mean_distance(F.col("places")).alias("observed"))
     totals = v.groupBy("gene").agg(F.count("*").alias("total")).join(observed, "gene")
     draws = totals.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
     draws = draws.select("gene", "observed", "i", (F.floor(F.col("total") * _uniform(F.concat_ws("|", "gene", "i", "j"))) + 1).alias("at"))
@@ -303,8 +304,7 @@ def leftover_anti(spark, sf_dir):
 def interval_union(spark, sf_dir):
     """Intervals of one key joined where they overlap or touch."""
     day = F.datediff("o_orderdate", F.lit("1990-01-01"))
-    x = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(day.alias("s"), (day + 20).alias("e"))).alias("x"))
-    return x.select("o_custkey", F.explode(merged_intervals(F.col("x"))).alias("i")).select("o_custkey", "i.s", "i.e")
+    return joined_intervals(_table(spark, sf_dir, "orders").select("o_custkey", day.alias("s"), (day + 20).alias("e")), "o_custkey")
 
 
 @_query(
