@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import filter_audit, licenses, secrets
 from .substring_dedup import WINDOW
 
 
@@ -60,3 +60,21 @@ def secret_scan_sql() -> str:
  j AS (SELECT s.*, copied OR regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) OR replace(value, substr(value, 1, 1), '') = '' AS example FROM s JOIN o ON o.low = lower(s.value)),
  r AS (SELECT doc_id, {counts}, {text} FILTER (rank < {base}) AS base, {text} FILTER (rank < {base} OR NOT example) AS every, count(*) FILTER (NOT example) AS live, count(*) FILTER (example) AS example FROM j GROUP BY doc_id)
  SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, CAST(coalesce(live, 0) AS BIGINT) AS n_live, CAST(coalesce(example, 0) AS BIGINT) AS n_example FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def filter_audit_sql() -> str:
+    """Counts of failure masks, and for each order and step sums over the masks that fit."""
+    fails = " ".join(f"WHEN '{f}' THEN {1 << i}" for i, f in enumerate(filter_audit.FILTERS))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ e AS (SELECT x, min(doc_id) AS least FROM d GROUP BY x),
+ l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < {filter_audit.FEW_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {filter_audit.DISTINCT_PERCENT} * len(w) THEN 2 ELSE 0 END
+ + CASE WHEN 100 * length(regexp_replace(d.x, '[^A-Z]', '', 'g')) > {filter_audit.UPPER_PERCENT} * length(d.x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(d.x, '{filter_audit.SYMBOLS}') THEN 8 ELSE 0 END + CASE WHEN least < d.doc_id THEN 16 ELSE 0 END AS mask
+ FROM d JOIN e USING (x) LEFT JOIN l USING (doc_id)),
+ c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+ f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), b AS (SELECT f, CASE f {fails} END AS bit FROM f),
+ o AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM f v, f w, f x, f y, f z WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+ s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bit, (SELECT coalesce(sum(bit), 0) FROM b q WHERE contains(substr(filter_order, 1, step - 1), q.f)) AS before FROM o, (SELECT unnest(range(1, 6)) AS step), b WHERE b.f = substr(filter_order, step, 1)),
+ r AS (SELECT part, filter_order, step, bit, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS removed, CAST(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant,
+ CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails, CAST(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS toxic_lost FROM c, (SELECT filter_order, step, CAST(bit AS BIGINT) AS bit, CAST(before AS BIGINT) AS before FROM s) GROUP BY ALL)
+ SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""

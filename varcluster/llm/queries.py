@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .ann import op6_additive_quantisation_search
 from .bpe import op3_bpe_encode_decode
+from .filter_audit import op12_filter_interaction_audit
 from .fingerprints import op5_document_fingerprints
 from .html_extract import op2_html_extraction
 from .jaccard_join import op9_ngram_jaccard_join
 from .licenses import op10_license_scan
-from .oracles import license_scan_sql, secret_scan_sql, substring_dedup_sql
+from .oracles import filter_audit_sql, license_scan_sql, secret_scan_sql, substring_dedup_sql
 from .packing import op4_minimum_bin_slack_packing
 from .quality import op7_quality_classifier
 from .secrets import op8_secret_scan
@@ -27,6 +28,7 @@ QUERIES = {
         op8_secret_scan,
         op9_ngram_jaccard_join,
         op10_license_scan,
+        op12_filter_interaction_audit,
     )
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup_sql(),
     "op8_secret_scan": secret_scan_sql(),
     "op10_license_scan": license_scan_sql(),
+    "op12_filter_interaction_audit": filter_audit_sql(),
 }
