@@ -8,6 +8,7 @@ from .filter_audit import op12_filter_interaction_audit
 from .fingerprints import op5_document_fingerprints
 from .html_extract import op2_html_extraction
 from .jaccard_join import op9_ngram_jaccard_join
+from .language_id import op11_language_id
 from .licenses import op10_license_scan
 from .oracles import filter_audit_sql, license_scan_sql, secret_scan_sql, substring_dedup_sql
 from .packing import op4_minimum_bin_slack_packing
@@ -28,6 +29,7 @@ QUERIES = {
         op8_secret_scan,
         op9_ngram_jaccard_join,
         op10_license_scan,
+        op11_language_id,
         op12_filter_interaction_audit,
     )
 }
