@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit, licenses, secrets
+from . import collocations, filter_audit, licenses, secrets
 from .substring_dedup import WINDOW
 
 
@@ -78,3 +78,18 @@ def filter_audit_sql() -> str:
  r AS (SELECT part, filter_order, step, bit, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS removed, CAST(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant,
  CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails, CAST(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS toxic_lost FROM c, (SELECT filter_order, step, CAST(bit AS BIGINT) AS bit, CAST(before AS BIGINT) AS before FROM s) GROUP BY ALL)
  SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+
+def collocations_sql() -> str:
+    """Counts every run of up to three words, and joins candidates with the parts of each cut."""
+    k, least = collocations.LONGEST, collocations.LEAST
+    return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {k + 1})) AS k) WHERE len(w) >= k)),
+ f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= {least}),
+ u AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS more FROM (SELECT lang, w, a, s, unnest(range(1, k - s + 2)) AS i FROM c, (SELECT unnest(range(2, {k})) AS s) WHERE s < k) GROUP BY ALL),
+ x AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM c LEFT JOIN u USING (lang, phrase) WHERE more IS NULL OR 100 * more < {collocations.COVERED_PERCENT} * a),
+ s AS (SELECT x.lang, x.phrase, x.a, cut, l.n AS l, r.n AS r, ({collocations.SCALE}::HUGEINT * x.a * x.a) // (l.n::HUGEINT * r.n) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+ SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score FROM b JOIN t ON t.lang = b.lang QUALIFY rank <= {collocations.KEEP}"""
