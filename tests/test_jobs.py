@@ -27,10 +27,10 @@ def of_rank(model, tx, rank, **changes):
 def test_variant_table(spark, tmp_path):
     p = tmp_path / "v.tsv"
     p.write_text("gene\tchr\tpos\tcq\ttype\nA\t1\t5\tmissense_variant\tSNV\nA\t1\t5\tmissense_variant\tSNV\nA\t1\t9\tstop_gained\tSNV\nA\t1\t7\tframeshift_variant\tDENOVO-INDEL\n.\t1\t7\tstop_gained\tSNV\nB\t1\tNA\tstop_gained\tSNV\nC\t1\t3\tsynonymous_variant\tSNV\n")
-    got = {r["gene"]: (r["missense"], r["nonsense"]) for r in grouped_variants(read_variants(spark, str(p))).collect()}
-    assert got == {"A": ([5, 5], [9]), "C": ([], [])}
-    with_indels = {r["gene"]: r["nonsense"] for r in grouped_variants(read_variants(spark, str(p), False)).collect()}
-    assert with_indels["A"] == [7, 9]
+    got = {r["gene"]: (r["pos"], r["missense"], r["nonsense"]) for r in grouped_variants(read_variants(spark, str(p))).collect()}
+    assert got == {"A": ([5, 9], [2, 0], [0, 1]), "C": ([], [], [])}
+    with_indels = {r["gene"]: (r["pos"], r["nonsense"]) for r in grouped_variants(read_variants(spark, str(p), False)).collect()}
+    assert with_indels["A"] == ([5, 7, 9], [0, 1, 1])
 
 
 def test_gene_list_and_previous_symbols(spark, tmp_path):
@@ -97,13 +97,14 @@ def test_cover(spark):
     left = of_rank(TWO_EXONS, "LEFT", 0, exons=[(100, 119)], cds=[(110, 119)], end=119)
     right = of_rank(TWO_EXONS, "RIGHT", 1, exons=[(160, 179)], cds=[(160, 170)], start=160)
     twin = of_rank(TWO_EXONS, "TWIN", 2, exons=[(160, 179)], cds=[(160, 170)], start=160)
-    held = held_variants(frame(spark, left, right, twin), grouped_variants(variants(spark, ("G", "1", 111, "missense"), ("G", "1", 162, "missense"), ("G", "1", 162, "nonsense"))))
+    grouped = grouped_variants(variants(spark, ("G", "1", 111, "missense"), ("G", "1", 162, "missense"), ("G", "1", 162, "nonsense")))
+    held = held_variants(frame(spark, left, right, twin), grouped)
     assert sorted((r["tx"], r["len"], r["n"]) for r in counts_per_transcript(held).collect()) == [("LEFT", 10, 1), ("RIGHT", 11, 2), ("TWIN", 11, 2)]
-    got = [(r["tx"], r["n"], r["missense"], r["nonsense"]) for r in greedy_cover(held).orderBy("tx_rank").collect()]
-    assert got == [("LEFT", 1, [111], []), ("RIGHT", 2, [162], [162]), ("TWIN", 2, [], [])]
+    got = [(r["tx"], r["n"], r["pos"], r["missense"], r["nonsense"]) for r in greedy_cover(held, grouped).orderBy("tx_rank").collect()]
+    assert got == [("LEFT", 1, [111], [1], [0]), ("RIGHT", 2, [162], [1], [1]), ("TWIN", 2, [], [], [])]
     assert sorted(r["tx"] for r in most_held(counts_per_transcript(held)).collect()) == ["RIGHT", "TWIN"]
-    away = held_variants(frame(spark, left), grouped_variants(variants(spark, ("G", "1", 5, "missense"))))
-    assert greedy_cover(away).count() == 0
+    far = grouped_variants(variants(spark, ("G", "1", 5, "missense")))
+    assert greedy_cover(held_variants(frame(spark, left), far), far).count() == 0
     rows = transcripts_with_variants(variants(spark, ("G", "1", 111, "missense")), frame(spark, left, right), minimal=False)
     assert [tuple(r) for r in rows.collect()] == [("G", "LEFT", 10, 1), ("G", "RIGHT", 11, 0)]
     assert [tuple(r) for r in transcripts_with_variants(variants(spark, ("G", "1", 111, "missense")), frame(spark, left, right), minimal=True).collect()] == [("G", "LEFT", 10, 1)]

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coding as C
-from ..functions.stats import at_most, counted_mean_distance, fisher, log10_or_null, mean_distance, mean_distance_3d, monte_carlo_p, with_share
+from ..functions.stats import fisher, log10_or_null, monte_carlo_p, with_share
 from ..operators.cover import greedy_cover, in_intervals, left_over, most_held
+from ..operators.distances import mean_of_counted, mean_of_counted_3d
 from ..operators.intervals import joined_intervals, nearest_intervals
+from ..operators.simulate import p_values
 from ..operators.sites import drawn, rates_by_class, site_table, unmasked, with_context_rates, with_prefix_sums
 from ..sources.annotation import merged_intervals
 from ..sources.rates import read_context_rates
 from ..sources.trinucleotide_rates import TRINUCLEOTIDE_RATES
 from ..sources.structures import without_gap
-from ..sources.variants import counted_positions, enough_variants, grouped_variants, many_missense, usable_variants
+from ..sources.variants import counted_positions, enough_variants, grouped_variants, many_missense, repeated, usable_variants
 from .api import cluster, gene_rates, observed_clustering
 
 
@@ -77,7 +79,7 @@ def min_events_gate(spark, sf_dir):
 def pairwise_geomean(spark, sf_dir):
     """The geometric mean of all distances between a gene's missense positions."""
     n = F.col("n")
-    return counted_positions(_variants(spark, sf_dir), "missense").where(n > 1).select("gene", F.floor(n * (n - 1) / 2).alias("n_pairs"), F.round(counted_mean_distance(F.col("places")), 6).alias("dist"))
+    return counted_positions(_variants(spark, sf_dir), "missense").where(n > 1).select("gene", F.floor(n * (n - 1) / 2).alias("n_pairs"), F.round(mean_of_counted("pos", "counts"), 6).alias("dist"))
 
 
 @_query(
@@ -137,7 +139,7 @@ def weighted_sample(spark, sf_dir):
     return drawn(c, d, "user_id").select("user_id", "k", "event_id")
 
 
-ROUNDS = 200
+ROUNDS = 2_000
 
 
 @_query(
@@ -153,20 +155,14 @@ ROUNDS = 200
  FROM m r JOIN m ON m.gene = r.gene AND m.i >= 0 WHERE r.i = -1 GROUP BY r.gene, r.x"""
 )
 def mc_pvalue(spark, sf_dir):
-    """A simulated p-value for all of each gene's missense positions, in columns alone: as many sites as it has are drawn
-    in each round, by the number of events at them, which is to draw an event. An event's number and its gene are the key
-    of the join, so a gene's draws spread over tasks."""
+    """A simulated p-value for all of each gene's missense positions: as many sites as it has are drawn in each round, by the
+    number of events at them, with numbers that SQL can make too."""
     v = _events(spark, sf_dir)
-    order = Window.partitionBy("gene").orderBy("pos")
-    sites = v.select("gene", "pos", F.row_number().over(order).cast("long").alias("at"))
-    observed = counted_positions(usable_variants(v), "missense").where("n >= 2").select("gene", "n", counted_mean_distance(F.col("places")).alias("observed"))
-    totals = v.groupBy("gene").agg(F.count("*").alias("total")).join(observed, "gene")
-    draws = totals.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
-    draws = draws.select("gene", "observed", "i", (F.floor(F.col("total") * _uniform(F.concat_ws("|", "gene", "i", "j"))) + 1).alias("at"))
-    sets = draws.join(sites, ["gene", "at"]).groupBy("gene", "i", "observed").agg(F.collect_list("pos").alias("pos"))
-    x = mean_distance(F.col("pos"))
-    smaller = F.sum(at_most(x, F.col("observed")).cast("int"))
-    return sets.groupBy("gene", "observed").agg(F.round(monte_carlo_p(smaller, F.count("*")), 9).alias("p")).select("gene", F.round("observed", 6).alias("observed"), "p")
+    sites = v.groupBy("gene", "pos").agg(F.count("*").cast("double").alias("w")).groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("s"))
+    observed = counted_positions(usable_variants(v), "missense").where("n >= 2").select("gene", F.col("n").cast("int").alias("n"), mean_of_counted("pos", "counts").alias("observed"))
+    tests = observed.join(sites, "gene").select(F.col("gene").alias("test_id"), "n", "observed", F.col("s.pos").alias("positions"), F.col("s.w").alias("weights"))
+    found = p_values(tests, ROUNDS, most=ROUNDS + 1, repeatable=True)
+    return found.join(observed, F.col("test_id") == F.col("gene")).select("gene", F.round("observed", 6).alias("observed"), F.round("p_value", 9).alias("p"))
 
 
 @_query(
@@ -261,7 +257,9 @@ def structure_distance(spark, sf_dir):
     point = F.struct(*[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate("xyz", 1)])
     g = e.groupBy("label", F.floor(F.col("vec_id") / 20).alias("block")).agg(F.sort_array(F.collect_list(point)).alias("points"))
     n = F.size("points").cast("long")
-    return g.where(n > 1).select("label", "block", F.floor(n * (n - 1) / 2).alias("n"), F.round(mean_distance_3d(F.col("points")), 6).alias("dist"))
+    every = F.sequence(F.lit(0), F.size("points") - 1)
+    dist = mean_of_counted_3d(every, F.transform(every, lambda _: F.lit(1).cast("long")), "points.x", "points.y", "points.z")
+    return g.where(n > 1).select("label", "block", F.floor(n * (n - 1) / 2).alias("n"), F.round(dist, 6).alias("dist"))
 
 
 @_query(
@@ -274,15 +272,40 @@ def top_transcript(spark, sf_dir):
     return most_held(c).select("gene", "tx", "n", "len")
 
 
+_COVER_SQL = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS gene, event_type AS tx, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS INTEGER) AS tx_rank, CAST(day(ts) AS INTEGER) AS day FROM events WHERE user_id IS NOT NULL),
+ h AS (SELECT gene, tx, tx_rank, CAST(count(*) AS INTEGER) AS len, list_sort(list(DISTINCT day)) AS days FROM e GROUP BY ALL),
+ l AS (SELECT gene, list_sort(list(DISTINCT day)) AS days FROM e GROUP BY gene),
+ r AS (SELECT 0 AS round, gene, CAST(NULL AS VARCHAR) AS tx, 0 AS n, days AS rest FROM l
+  UNION ALL SELECT round + 1, gene, tx, n, list_filter(rest, lambda d: NOT list_contains(first_days, d)) FROM (
+   SELECT round, gene, tx, n, rest, first(days) OVER (PARTITION BY gene ORDER BY tx_rank) AS first_days FROM (
+    SELECT q.round, q.gene, h.tx, h.tx_rank, h.days, q.rest, len(list_intersect(h.days, q.rest)) AS n, rank() OVER (PARTITION BY q.gene ORDER BY len(list_intersect(h.days, q.rest)) DESC, h.len DESC) AS place
+    FROM (SELECT DISTINCT round, gene, rest FROM r WHERE len(rest) > 0) q JOIN h ON h.gene = q.gene) WHERE place = 1 AND n > 0)),
+ c AS (SELECT gene, tx, CAST(arg_max(n, round) AS INTEGER) AS n FROM r WHERE tx IS NOT NULL GROUP BY gene, tx),
+ o AS (SELECT c.gene, c.tx, h.tx_rank, h.len, c.n, h.days, list(h.days) OVER (PARTITION BY c.gene ORDER BY h.tx_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c JOIN h USING (gene, tx))
+ SELECT gene, tx, tx_rank, len, n, array_to_string(list_filter(days, lambda d: NOT list_contains(coalesce(flatten(before), []), d)), ',') AS days FROM o"""
+
+
+def _days(spark: SparkSession, sf_dir: str):
+    """Event types as transcripts of a user (gene, tx, tx_rank, len, inside), and the days on which anything happened."""
+    e = _table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").cast("string").alias("gene"), F.col("event_type").alias("tx"), F.dayofmonth("ts").alias("day"))
+    own = e.groupBy("gene", "tx").agg(F.collect_set("day").alias("own"), F.count("*").cast("int").alias("len"))
+    every = e.groupBy("gene").agg(F.sort_array(F.collect_set("day")).alias("pos"))
+    places = every.withColumns({"missense": F.transform("pos", lambda _: F.lit(1).cast("long")), "nonsense": F.transform("pos", lambda _: F.lit(0).cast("long"))})
+    held = own.join(places, "gene").withColumns({"tx_rank": F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("tx")).cast("int"), "inside": F.transform("pos", lambda p: F.array_contains("own", p))})
+    return held, places
+
+
 @_query()
 def greedy_transcript_cover(spark, sf_dir):
     """Event types as transcripts of a user, covering the days on which anything happened."""
-    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("gene"), F.col("event_type").alias("tx"), F.dayofmonth("ts").alias("day"))
-    own = e.groupBy("gene", "tx").agg(F.sort_array(F.collect_set("day")).alias("missense"), F.count("*").cast("int").alias("len"))
-    every = e.groupBy("gene").agg(F.sort_array(F.collect_set("day")).alias("all_missense"))
-    none = F.array().cast("array<int>")
-    held = own.join(every, "gene").withColumns({"tx_rank": F.length("tx"), "nonsense": none, "all_nonsense": none})
-    return greedy_cover(held.select("gene", "tx", "tx_rank", "len", "missense", "nonsense", "all_missense", "all_nonsense"))
+    found = greedy_cover(*_days(spark, sf_dir))
+    return found.select("gene", "tx", "tx_rank", "len", "n", F.col("pos").alias("missense"), F.array().cast("array<int>").alias("nonsense"))
+
+
+@_query(_COVER_SQL)
+def greedy_cover_days(spark, sf_dir):
+    """The same with days as text."""
+    return greedy_cover(*_days(spark, sf_dir)).select("gene", "tx", "tx_rank", "len", "n", F.array_join(F.col("pos").cast("array<string>"), ",").alias("days"))
 
 
 @_query(
@@ -345,7 +368,7 @@ def gene_rates_pivot(spark, sf_dir):
 )
 def result_long(spark, sf_dir):
     """Two rows a gene, distances as text with one digit, joined in order."""
-    pair = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("p")) for c in ("missense", "nonsense")])
+    pair = F.array(*[F.struct(F.lit(c).alias("c"), repeated(F.col("pos"), F.col(c)).alias("p")) for c in ("missense", "nonsense")])
     rows = grouped_variants(_variants(spark, sf_dir)).select("gene", F.explode(pair).alias("x"))
     text = F.array_join(F.transform("x.p", lambda p: F.format_string("%.1f", p / 2.0)), ",")
     return rows.select(F.col("gene").alias("gene_id"), F.col("x.c").alias("mutation_category"), F.size("x.p").alias("events_n"), text.alias("dist"))
@@ -369,8 +392,8 @@ _SEQUENCE_SQL = " || ".join(["md5(CAST(u AS VARCHAR))", *[f"md5(u || '|{i}')" fo
 _SITES_SQL = f"""WITH t AS (SELECT CAST(u AS VARCHAR) AS gene, translate({_SEQUENCE_SQL}, '0123456789abcdef', 'ACGTACGTACGTACGT') AS g FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL)),
  b AS (SELECT gene, g, unnest(range({FIRST}, {LAST + 1})) AS bp FROM t),
  c AS (SELECT gene, bp, substr(g, bp - 1, 3) AS kmer, substr(g, {FIRST} + (bp - {FIRST}) // 3 * 3, 3) AS codon, (bp - {FIRST}) % 3 AS site, least(bp - {FIRST}, {LAST} - bp) + 1 AS dist, unnest(['A', 'C', 'G', 'T']) AS base FROM b),
- a AS (SELECT gene, kmer, substr(kmer, 1, 1) || base || substr(kmer, 3, 1) AS kmer_to, dist, {_CODE_SQL.format("codon")} AS aa, {_CODE_SQL.format("(substr(codon, 1, site) || base || substr(codon, site + 2))")} AS new FROM c WHERE substr(kmer, 2, 1) <> base),
- q AS (SELECT gene, coalesce(mu, 0) AS mu, CASE WHEN aa <> '*' AND new = '*' THEN 'nonsense' WHEN aa <> new THEN 'missense' WHEN dist < 4 THEN 'splice_region' ELSE 'synonymous' END AS consequence FROM a LEFT JOIN {_RATES_SQL} ON a.kmer = r.kmer AND a.kmer_to = r.kmer_to)"""
+ a AS (SELECT gene, bp - {FIRST} AS pos, kmer, substr(kmer, 1, 1) || base || substr(kmer, 3, 1) AS kmer_to, dist, {_CODE_SQL.format("codon")} AS aa, {_CODE_SQL.format("(substr(codon, 1, site) || base || substr(codon, site + 2))")} AS new FROM c WHERE substr(kmer, 2, 1) <> base),
+ q AS (SELECT gene, pos, coalesce(mu, 0) AS mu, CASE WHEN aa <> '*' AND new = '*' THEN 'nonsense' WHEN aa <> new THEN 'missense' WHEN dist < 4 THEN 'splice_region' ELSE 'synonymous' END AS consequence FROM a LEFT JOIN {_RATES_SQL} ON a.kmer = r.kmer AND a.kmer_to = r.kmer_to)"""
 
 
 @_query(
@@ -420,9 +443,34 @@ def cluster_observed_users(spark, sf_dir):
 
 @_query()
 def cluster_users(spark, sf_dir):
-    """The clustering job as a whole. A thousand simulations first; tests that they do not decide go on in rounds of a million and
-    more, up to ten million."""
-    return cluster(_user_variants(spark, sf_dir), _user_transcripts(spark, sf_dir), read_context_rates(spark), iterations=1_000, most=10_000_000).select("gene_id", "mutation_category", "events_n", "dist", F.round("probability", 9).alias("probability"))
+    """The clustering job as a whole, with as many simulations as it has by default: a million for each test, and up to a hundred
+    million for those that these do not decide."""
+    found = cluster(_user_variants(spark, sf_dir), _user_transcripts(spark, sf_dir), read_context_rates(spark))
+    return found.select("gene_id", "mutation_category", "events_n", "dist", F.round("probability", 9).alias("probability"))
+
+
+SEEDED = 300
+
+
+@_query(
+    _SITES_SQL
+    + f""", v AS (SELECT CAST(user_id AS VARCHAR) AS gene, (CAST(hour(ts) * 60 + minute(ts) AS INTEGER)) % {LAST - FIRST + 1} AS pos, CASE event_type WHEN 'error' THEN 'missense' ELSE 'nonsense' END AS cls, row_number() OVER () AS k FROM events WHERE event_type IN ('error', 'purchase')),
+ e AS (SELECT gene, cls, pos, row_number() OVER (PARTITION BY gene, cls ORDER BY k) AS j FROM v), tested AS (SELECT gene FROM e GROUP BY gene HAVING count(*) >= 2),
+ n AS (SELECT gene, cls, count(*) AS n FROM e GROUP BY gene, cls),
+ s AS (SELECT gene, consequence AS cls, pos, sum(sum(mu)) OVER (PARTITION BY gene, consequence ORDER BY pos) AS cum, sum(sum(mu)) OVER (PARTITION BY gene, consequence) AS total FROM q WHERE consequence IN ('missense', 'nonsense') GROUP BY gene, consequence, pos),
+ d AS (SELECT n.gene, n.cls, i, j, {_UNIFORM_SQL.format("n.gene || '|T' || n.gene || '|' || n.cls || '|' || i || '|' || j")} AS u FROM n, (SELECT unnest(range({SEEDED})) AS i), LATERAL (SELECT unnest(range(n.n)) AS j) WHERE n.n >= 2),
+ x AS (SELECT d.gene, d.cls, i, j, s.pos FROM (SELECT d.*, u * total AS w FROM d JOIN (SELECT DISTINCT gene, cls, total FROM s) m USING (gene, cls)) d ASOF JOIN s ON s.gene = d.gene AND s.cls = d.cls AND d.w <= s.cum
+  UNION ALL SELECT gene, cls, -1, j, pos FROM e),
+ p AS (SELECT a.gene, a.cls, a.i, abs(a.pos - b.pos) AS d FROM x a JOIN x b ON a.gene = b.gene AND a.cls = b.cls AND a.i = b.i AND a.j < b.j),
+ m AS (SELECT gene, cls, i, CASE WHEN bool_or(d = 0) THEN exp(avg(ln(d + 1))) - 1 ELSE exp(avg(ln(CASE WHEN d = 0 THEN 1 ELSE d END))) END AS x FROM p GROUP BY gene, cls, i),
+ y AS (SELECT r.gene, r.cls, r.x, (1.0::DOUBLE + count(*) FILTER (m.x <= r.x + 1e-9 * greatest(1.0, r.x))) / (1.0::DOUBLE + {SEEDED}) AS probability FROM m r LEFT JOIN m ON m.gene = r.gene AND m.cls = r.cls AND m.i >= 0 WHERE r.i = -1 GROUP BY r.gene, r.cls, r.x)
+ SELECT tested.gene AS gene_id, c.cls AS mutation_category, CAST(coalesce(n.n, 0) AS INTEGER) AS events_n, coalesce(printf('%.1f', x), 'nan') AS dist, round(probability, 9) AS probability
+ FROM tested CROSS JOIN (SELECT unnest(['missense', 'nonsense']) AS cls) c LEFT JOIN n ON n.gene = tested.gene AND n.cls = c.cls LEFT JOIN y ON y.gene = tested.gene AND y.cls = c.cls"""
+)
+def cluster_seeded_users(spark, sf_dir):
+    """The clustering job with its simulations, few enough and drawn by numbers that SQL can repeat."""
+    found = cluster(_user_variants(spark, sf_dir), _user_transcripts(spark, sf_dir), read_context_rates(spark), iterations=SEEDED, most=SEEDED + 1, repeatable=True)
+    return found.select("gene_id", "mutation_category", "events_n", "dist", F.round("probability", 9).alias("probability"))
 
 
 @_query(EVENTS_SQL + " SELECT gene FROM v WHERE event_type = 'error' GROUP BY gene HAVING count(*) > 1")
