@@ -15,7 +15,7 @@ from ..operators.cover import greedy_cover, in_intervals, left_over, most_held
 from ..operators.distances import mean_of_counted, mean_of_counted_3d
 from ..operators.intervals import joined_intervals, nearest_intervals
 from ..operators.simulate import p_values
-from ..operators.sites import drawn, rates_by_class, site_table, unmasked, with_context_rates, with_prefix_sums
+from ..operators.sites import class_sums, drawn, rates_by_class, site_table, unmasked, with_context_rates, with_prefix_sums
 from ..sources.annotation import merged_intervals
 from ..sources.rates import read_context_rates
 from ..sources.trinucleotide_rates import TRINUCLEOTIDE_RATES
@@ -403,8 +403,8 @@ _SITES_SQL = f"""WITH t AS (SELECT CAST(u AS VARCHAR) AS gene, translate({_SEQUE
 )
 def site_rates(spark, sf_dir):
     """Every single-base change of each gene, classified, with its context's rate, summed by class."""
-    sites = site_table(_user_transcripts(spark, sf_dir), read_context_rates(spark))
-    return sites.groupBy("gene", "consequence").agg(F.count("*").alias("n"), F.round(log10_or_null(F.sum("mu")), 6).alias("rate"))
+    sums = class_sums(_user_transcripts(spark, sf_dir), read_context_rates(spark))
+    return sums.select("gene", "consequence", "n", F.round(log10_or_null(F.col("mu")), 6).alias("rate"))
 
 
 _RATE_COLUMNS = ("missense_rate", "nonsense_rate", "splice_lof_rate", "splice_region_rate", "synonymous_rate", "frameshift_rate")
