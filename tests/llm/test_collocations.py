@@ -80,9 +80,10 @@ def test_blocks_repeat_what_a_border_cuts(monkeypatch):
         monkeypatch.setattr(C, "SLICE_BYTES", size)
         got, all_bits = Counter(), np.full(8, 255, np.uint8)
         for block in C.blocks(frame(), 2):
-            at, n = C.phrases_of(block, 3, all_bits)
-            for i, k in zip(at.tolist(), n.tolist()):
-                got[block.phrase(i, 3)[1].decode()] += k
+            for level, at, n in C.phrases_of(block, 3, all_bits):
+                if level == 3:
+                    for phrase, k in zip(block.spelled(at, 3)[1].to_pylist(), n.tolist()):
+                        got[phrase] += k
         assert got == want
         trie = C.Trie.unpacked(C.Trie(["l"] * len(want), sorted(want)).packed())
         total = sum((trie.count(b) for b in C.blocks(frame(), 2, trie.words)), np.zeros(trie.size, np.int64))
@@ -98,7 +99,7 @@ def test_double_array():
     places = np.flatnonzero(trie.check >= 0)
     assert len(places) == len({" ".join(p.split()[: k + 1]) for p in phrases for k in range(1, len(p.split()))})
     others = [" ".join(rng.choice([*words, "hub"]) for _ in range(rng.randrange(1, 4))) for _ in range(3000)]
-    lone = lambda p: C.Block([np.array([trie.words["l"].get(w, 0) for w in p.encode().split()] + [0], np.int32)], [(0, len(p.split()) - 1)], [])
+    lone = lambda p: C.Block([np.array([trie.words["l"].get(w, 0) for w in p.encode().split()] + [0], np.int32)], [(0, len(p.split()) - 1)], [], [])
     for p in phrases + others:
         ends = trie.count(lone(p))
         whole = phrases.index(p) if p in phrases else -1

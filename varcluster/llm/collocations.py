@@ -4,8 +4,9 @@ Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and p
 
 1. Words are counted. Then candidates are found level by level by the Apriori rule: a phrase of k words can only stand LEAST
    times if both phrases of k - 1 words in it do. Tasks learn which those are from a bit table of FILTER_BITS, whatever
-   the data: a set bit may also stand for another phrase, so nothing is lost and only more may come through. Tasks send
-   each phrase of a block that is left, once, with its count there; a phrase with a sum of LEAST is a candidate.
+   the data: a set bit may also stand for another phrase, so nothing is lost and only more may come through. Of levels
+   below the longest only hashes are counted, to set bits; a last pass spells out each phrase of a block that is left,
+   once, with its count there, and one with a sum of LEAST is a candidate.
 2. Candidates are dealt by hash into tries of about TRIE_BYTES: states are phrases' beginnings, edges are words, and a state's
    successor by word w is place base + w of one array, if `check` there names the state. Each trie is built in a task,
    broadcast (its size is bounded) and given up again after its pass over the texts.
@@ -30,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, released, table
+from .common import materialise, mix, released, table
 
 LONGEST, LEAST, KEEP = 3, 10, 2000
 COVERED_PERCENT = 50
@@ -44,7 +46,7 @@ NO_LANG = "und"
 FILTER_BITS = 1 << 26
 #: Bytes of phrases in one trie, with their overhead; words of a block of text.
 TRIE_BYTES, PHRASE_COST = 24 << 20, 16
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
 #: A text is cut into words so many bytes at a time.
 SLICE_BYTES = 1 << 20
 #: Rows of a language are ranked in so many shares first.
@@ -76,37 +78,48 @@ def slices(data: bytes) -> Iterator[bytes]:
 
 
 class _Numbers(dict):
-    """Numbers of a language's words, given as they come; all languages of a block share the list of names."""
+    """Numbers of a language's words, given as they come; all languages of a block share the lists."""
 
-    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
+    def __init__(self, lang: str, words: list[bytes], langs: list[str]):
         super().__init__({_BORDER: 0})
-        self.lang, self.names = lang, names
+        self.lang, self.words, self.langs = lang, words, langs
 
     def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
-        self[word] = n = len(self.names)
+        self.words.append(word)
+        self.langs.append(self.lang)
+        self[word] = n = len(self.words)
         return n
 
 
+class _Known(dict):
+    """Numbers of words that have one; others have 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Block:
-    """ids: the words of many texts by number, 0 between pieces and for words without one; names: the words, by number - 1;
+    """ids: the words of many texts by number, 0 between pieces and for words without one; words, langs: by number - 1;
     fresh: whether a phrase may end here, which it may not in words that a block repeats from the one before."""
 
-    def __init__(self, parts: list[np.ndarray], stale: list[tuple[int, int]], names: list[tuple[str, bytes]]):
-        self.ids, self.names = np.concatenate(parts), names
+    def __init__(self, parts: list[np.ndarray], stale: list[tuple[int, int]], words: list[bytes], langs: list[str]):
+        self.ids, self.words, self.langs = np.concatenate(parts), words, langs
         self.fresh = np.ones(len(self.ids), bool)
         for start, n in stale:
             self.fresh[start : start + n] = False
 
-    def phrase(self, at: int, size: int) -> tuple[str, bytes]:
-        own = [self.names[i - 1] for i in self.ids[at : at + size].tolist()]
-        return own[0][0], b" ".join([w for _, w in own])
+    def spelled(self, at: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
+        """Languages and texts of the phrases at these places."""
+        words = pa.array(self.words, pa.binary())
+        parts = [words.take(pa.array(self.ids[at + k] - 1)) for k in range(size)]
+        text = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if size > 1 else parts[0]
+        return pa.array(self.langs, pa.string()).take(pa.array(self.ids[at] - 1)), text.cast(pa.string())
 
 
-def blocks(batches: Iterator[pd.DataFrame], overlap: int, known: dict[str, dict[bytes, int]] | None = None) -> Iterator[Block]:
+def blocks(batches: Iterator[pd.DataFrame], overlap: int, known: dict[str, _Known] | None = None) -> Iterator[Block]:
     """The texts of batches of (lang, text) as blocks of about BLOCK_WORDS. A text cut in two brings its last `overlap` words
     along. known: the numbers of those words that have one; without it, all are numbered anew in each block."""
-    names: list[tuple[str, bytes]] = []
+    words, langs = [], []
     numbers: dict[str, _Numbers] = {}
     parts, stale, size = [], [], 0
     border = np.zeros(1, np.int32)
@@ -117,69 +130,81 @@ def blocks(batches: Iterator[pd.DataFrame], overlap: int, known: dict[str, dict[
             tail: list[bytes] = []
             for piece in slices(text.encode("utf-8", "replace").translate(_FOLD)):
                 if known is not None:
-                    get = known[lang].get
-                else:
-                    if lang not in numbers:
-                        numbers[lang] = _Numbers(lang, names)
-                    get = numbers[lang].__getitem__
-                words = tail + piece.replace(_BORDER, b" \xff ").split()
-                if known is None:
-                    ids = np.fromiter(map(get, words), np.int32, len(words))
+                    own = known[lang]
+                elif lang in numbers:
+                    own = numbers[lang]
                 else:
-                    ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+                    own = numbers[lang] = _Numbers(lang, words, langs)
+                found = tail + piece.replace(_BORDER, b" \xff ").split()
+                ids = np.fromiter(map(own.__getitem__, found), np.int32, len(found))
                 if tail:
                     parts.append(border)
                     stale.append((size + 1, len(tail)))
                     size += 1
                 parts.append(ids)
                 size += len(ids)
-                tail = words[-overlap:] if overlap else []
+                tail = found[-overlap:] if overlap else []
                 if size >= BLOCK_WORDS:
-                    yield Block([*parts, border], stale, names)
-                    names, numbers, parts, stale, size = [], {}, [], [], 0
+                    yield Block([*parts, border], stale, words, langs)
+                    words, langs, numbers, parts, stale, size = [], [], {}, [], [], 0
             parts.append(border)
             size += 1
     if size:
-        yield Block([*parts, border], stale, names)
+        yield Block([*parts, border], stale, words, langs)
+
 
+def word_hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
+    """64 bits of each word and its language."""
+    seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace")) for lang in set(langs)}
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[lang]) for w, lang in zip(words, langs)), np.uint64, len(words))
 
-def _bit(lang: str, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh3_64_intdigest(phrase, xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace"))) & (bits - 1)
 
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of phrases and one more word each."""
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + word)
 
-def _allowed(block: Block, at: np.ndarray, size: int, table: np.ndarray) -> np.ndarray:
-    """Whether the phrases at these places may be extended."""
-    bits = np.fromiter((_bit(*block.phrase(a, size), 8 * len(table)) for a in at.tolist()), np.int64, len(at))
-    return (table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
 
+def _set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = (h & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
-def phrases_of(block: Block, size: int, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct phrase of so many words first stands, and how often it does; with a table, of phrases whose
-    shorter ones, level by level, are all in it."""
-    ids = block.ids.astype(np.int64)
-    if size == 1:
-        kinds, first, n = np.unique(np.where(block.fresh, ids, 0), return_index=True, return_counts=True)
-        return first[kinds > 0], n[kinds > 0]
-    own = np.fromiter((_bit(*x, 8 * len(table)) for x in block.names), np.int64, len(block.names))
-    word = np.concatenate([[False], (table[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(bool)])
-    gram = np.where(word[ids], ids, 0)  # the phrase of the level that starts here, by number, 0: none
+
+def allowed(block: Block, size: int, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size from 2 on, the places and hashes of its phrases whose shorter ones are, level by level, all in the table."""
+    ids = block.ids
+    own = np.concatenate([np.zeros(1, np.uint64), word_hashes(block.words, block.langs)])
+    word = _set(table, own)
+    word[0] = False
+    h = own[ids]
+    gram, may = h, word[ids]  # of each place, the phrase of the last level and whether it may grow
     for level in range(2, size + 1):
-        at = np.flatnonzero((gram[:-1] > 0) & (gram[1:] > 0))
+        at = np.flatnonzero(may[:-1] & may[1:])
         at = at[at + level <= len(ids)]
-        if level == size:
-            at = at[block.fresh[at + size - 1]]
-        _, first, which, n = np.unique(gram[at] << 32 | ids[at + level - 1], return_index=True, return_inverse=True, return_counts=True)
-        if level == size:
-            return at[first], n
-        kept = _allowed(block, at[first], level, table)
-        gram = np.zeros(len(ids), np.int64)
-        gram[at] = np.where(kept, np.arange(1, len(kept) + 1), 0)[which]
+        found = _longer(gram[at], h[at + level - 1])
+        yield level, at, found
+        if level < size:
+            gram, may = np.zeros(len(ids), np.uint64), np.zeros(len(ids), bool)
+            gram[at], may[at] = found, _set(table, found)
+
+
+def _counted(block: Block, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct phrase among these places first stands, and how often it does."""
+    code, first = block.ids[at].astype(np.int64), None
+    for k in range(1, size):
+        if k > 1:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code << 32 | block.ids[at + k]
+    _, first, n = np.unique(code, return_index=True, return_counts=True)
+    return at[first], n
 
 
-def _sent(rows: list[tuple[str, bytes]], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(rows), SENT):
-        part = rows[a : a + SENT]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([x for _, x in part], pa.binary()).cast(pa.string()), pa.array(n[a : a + SENT], pa.int64())], ["lang", "phrase", "n"])
+def phrases_of(block: Block, size: int, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size from 2 on, where each distinct phrase first stands and how often it does, if it may be a candidate."""
+    for level, at, found in allowed(block, size, table):
+        kept = block.fresh[at + level - 1]
+        if level < size:
+            kept &= _set(table, found)
+        yield level, *_counted(block, at[kept], level)
 
 
 def _as_pandas(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -187,28 +212,59 @@ def _as_pandas(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield b.to_pandas()
 
 
-def counted_phrases(texts: DataFrame, size: int, table: "np.ndarray | None" = None) -> DataFrame:
-    """COUNTS of the phrases of so many words whose shorter ones are in the table; texts: (lang, text)."""
-    shared = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
+def _sent(block: Block, size: int, at: np.ndarray, n: np.ndarray, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(at), SENT):
+        part = slice(a, a + SENT)
+        columns = [*block.spelled(at[part], size), pa.array(n[part], pa.int64()), *[pa.array(x[part], pa.int64()) for x in more.values()]]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", *more])
+
+
+def counted_words(texts: DataFrame) -> DataFrame:
+    """COUNTS of words, with h, their hash; texts: (lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(_as_pandas(batches), 0):
+            n = np.bincount(block.ids, minlength=len(block.words) + 1)[1:]
+            first = np.zeros(len(n) + 1, np.int64)
+            first[block.ids[::-1]] = np.arange(len(block.ids))[::-1]
+            yield from _sent(block, 1, first[1:], n, h=word_hashes(block.words, block.langs).view(np.int64))
+
+    return texts.mapInArrow(released(run), f"{COUNTS}, h long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
+
+
+def counted_hashes(texts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
+    """(h, n): how often phrases of so many words stand, by hash, of those whose shorter ones are in the table."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(_as_pandas(batches), size - 1):
-            at, n = phrases_of(block, size, None if shared is None else shared.value)
-            for a in range(0, len(at), SENT):
-                yield from _sent([block.phrase(i, size) for i in at[a : a + SENT].tolist()], n[a : a + SENT])
+            for level, at, found in allowed(block, size, shared.value):
+                if level == size:
+                    h, n = np.unique(found[block.fresh[at + level - 1]], return_counts=True)
+                    for a in range(0, len(h), SENT):
+                        yield pa.RecordBatch.from_arrays([pa.array(h[a : a + SENT].view(np.int64)), pa.array(n[a : a + SENT], pa.int32())], ["h", "n"])
 
-    return texts.mapInArrow(released(run), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # a block has sent each hash once: sums before the shuffle would take memory and save little
+    return texts.mapInArrow(released(run), "h long, n int").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def bit_table(phrases: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A table of so many bits, as bytes, in which those of the phrases are set."""
+def counted_phrases(texts: DataFrame, size: int, table: np.ndarray) -> DataFrame:
+    """COUNTS of the phrases of two to so many words that may be candidates."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(_as_pandas(batches), size - 1):
+            for level, at, n in phrases_of(block, size, shared.value):
+                yield from _sent(block, level, at, n)
+
+    return texts.mapInArrow(released(run), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bit = np.fromiter((_bit(lang, p.encode(), bits) for lang, p in zip(batch["lang"], batch["phrase"])), np.int64, len(batch))
-            yield pd.DataFrame({"slot": bit >> 6, "word": np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).view(np.int64)})
 
-    rows = phrases.select("lang", "phrase").mapInPandas(run, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toPandas()
+def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A table of so many bits, as bytes, in which those of the hashes h are set. Its rows are no more than a word of 64 bits each."""
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = hashes.select(F.shiftright(bit, 6).alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("word"))
+    rows = rows.groupBy("slot").agg(F.bit_or("word").alias("word")).toPandas()
     table = np.zeros(bits >> 6, np.int64)
     table[rows["slot"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
     return table.view(np.uint8)
@@ -220,11 +276,11 @@ class Trie:
     state, -1 for none. words: numbers of the words, by language."""
 
     def __init__(self, langs: list[str], phrases: list[str]):
-        self.words: dict[str, dict[bytes, int]] = {}
+        self.words: dict[str, _Known] = {}
         longest, count = 0, 0
         spelled = []
         for lang, phrase in zip(langs, phrases):
-            own = self.words.setdefault(lang, {})
+            own = self.words.setdefault(lang, _Known())
             ids = []
             for w in phrase.encode().split(b" "):
                 n = own.get(w)
@@ -338,7 +394,7 @@ class Trie:
         got = np.load(io.BytesIO(data))
         trie = cls.__new__(cls)
         trie.base, trie.check, trie.accept, trie.size = got["base"], got["check"], got["accept"], int(got["size"])
-        trie.words = {str(lang): dict(zip(got[f"w{i}"].tobytes().split(b" "), got[f"n{i}"].tolist())) for i, lang in enumerate(got["langs"])}
+        trie.words = {str(lang): _Known(zip(got[f"w{i}"].tobytes().split(b" "), got[f"n{i}"].tolist())) for i, lang in enumerate(got["langs"])}
         return trie
 
 
@@ -423,17 +479,15 @@ def best_of(rows: DataFrame, keep: int = KEEP) -> DataFrame:
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, keep: int = KEEP, bits: int = FILTER_BITS, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score)."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
-    words = materialise(counted_phrases(texts, 1), "words")
+    words = materialise(counted_words(texts), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     often = words.where(F.col("n") >= least)
-    table, candidates = bit_table(often, bits), None
-    for size in range(2, longest + 1):
-        found = materialise(counted_phrases(texts, size, table).where(F.col("n") >= least).select("lang", "phrase"), f"phrases-{size}")
-        candidates = found if candidates is None else candidates.unionByName(found)
-        if size < longest:
-            table |= bit_table(found, bits)
+    table = bit_table(often, bits)
+    for size in range(2, longest):
+        table |= bit_table(counted_hashes(texts, size, table).where(F.col("n") >= least), bits)
+    candidates = materialise(counted_phrases(texts, longest, table).where(F.col("n") >= least).select("lang", "phrase"), "phrases")
     counts = materialise(counted_by_tries(texts, candidates, longest, trie_bytes).where(F.col("n") >= least), "phrase-counts")
-    rows = best_of(scored(uncovered(counts), often.unionByName(counts)), keep)
+    rows = best_of(scored(uncovered(counts), often.drop("h").unionByName(counts)), keep)
     return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
