@@ -21,7 +21,7 @@ from ..sources.rates import read_context_rates
 from ..sources.trinucleotide_rates import TRINUCLEOTIDE_RATES
 from ..sources.structures import without_gap
 from ..sources.variants import counted_positions, enough_variants, grouped_variants, many_missense, repeated, usable_variants
-from .api import cluster, gene_rates, observed_clustering
+from .api import cluster, gene_rates, observed_clustering, transcripts_with_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -477,3 +477,114 @@ def cluster_seeded_users(spark, sf_dir):
 def batch_gate(spark, sf_dir):
     """Genes that make a batch."""
     return many_missense(_events(spark, sf_dir))
+
+
+#: Two made-up transcripts a user, (exons, coding intervals), on a strand by the user's number: the second has another intron, and
+#: shares some of the first one's coding bases in another frame.
+SPLICED = ((((1, 120), (161, 310)), ((11, 120), (161, 290))), (((1, 100), (141, 310)), ((21, 100), (141, 291))))
+
+
+def _spliced_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lambda x: F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in x])
+    models = F.explode(F.array(*[F.struct(F.lit(i).alias("tx_rank"), spans(exons).alias("exons"), spans(cds).alias("cds")) for i, (exons, cds) in enumerate(SPLICED)]))
+    users = _table(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct().where("u is not null")
+    rows = users.select("u", _bases("u", PARTS).alias("gseq"), F.when(F.col("u") % 2 == 0, "+").otherwise("-").alias("strand"), models.alias("m")).select("u", "gseq", "strand", "m.*")
+    plus = F.array_join(F.transform("cds", lambda x: F.substring(F.col("gseq"), x["s"], x["e"] - x["s"] + 1)), "")
+    rows = rows.withColumn("cds_seq", F.when(F.col("strand") == "-", C.reverse_complement(plus)).otherwise(plus))
+    return rows.select(F.col("u").cast("string").alias("gene"), F.concat(F.lit("T"), F.col("u").cast("string"), F.lit("-"), F.col("tx_rank").cast("string")).alias("tx"), "tx_rank", F.lit("1").alias("chrom"), F.lit(1).alias("start"), F.lit(310).alias("end"), "strand", "exons", "cds", "cds_seq", "gseq", F.lit(0).alias("goffset"), (F.col("tx_rank") == 0).alias("canonical"))
+
+
+def _spliced_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).withColumn("pos", F.lit(1) + F.col("pos") % 315)
+
+
+_FLIP_SQL = "translate(reverse({0}), 'ACGT', 'TGCA')"
+#: Geometry of each base of both transcripts and strands.
+_PLACES_SQL = f"""WITH x AS (SELECT * FROM (VALUES {", ".join(f"({i}, {s}, {e}, {cs}, {ce})" for i, (exons, cds) in enumerate(SPLICED) for (s, e), (cs, ce) in zip(exons, cds))}) v(tx_rank, s, e, cs, ce)),
+ y AS (SELECT tx_rank, min(cs) AS low, max(ce) AS high FROM x GROUP BY tx_rank), z AS (SELECT y.*, strand, CASE strand WHEN '-' THEN high ELSE low END AS first FROM y, (SELECT unnest(['+', '-']) AS strand)),
+ near AS (SELECT z.*, bp, s, e, CASE WHEN bp BETWEEN s AND e THEN 0 ELSE least(abs(s - bp), abs(e - bp)) END AS gap, bp BETWEEN cs AND ce AS own FROM z JOIN x USING (tx_rank), (SELECT unnest(range(1, 321)) AS bp)),
+ place AS (SELECT *, bool_or(own) OVER (PARTITION BY tx_rank, strand, bp) AS coding, greatest(s, least(e, bp)) AS snap FROM near QUALIFY row_number() OVER (PARTITION BY tx_rank, strand, bp ORDER BY gap, s) = 1),
+ ranks AS (SELECT tx_rank, upto, CAST(sum(greatest(0, least(e, upto) - s + 1)) AS INTEGER) AS r FROM x, (SELECT unnest(range(1, 321)) AS upto) GROUP BY tx_rank, upto),
+ geo AS (SELECT p.tx_rank, p.strand, p.bp, p.gap, coding, low, high, least(abs(s - bp), abs(e - bp)) + CASE WHEN coding THEN 1 ELSE 0 END AS boundary, CASE p.strand WHEN '-' THEN -1 ELSE 1 END * (bp - snap) AS off,
+ CASE p.strand WHEN '-' THEN -1 ELSE 1 END * (i.r - j.r) AS pos FROM place p JOIN ranks i ON i.tx_rank = p.tx_rank AND i.upto = p.snap JOIN ranks j ON j.tx_rank = p.tx_rank AND j.upto = p.first),
+ size AS (SELECT tx_rank, CAST(sum(ce - cs + 1) AS INTEGER) AS len FROM x GROUP BY tx_rank)"""
+_SPLICED_SQL = (
+    _PLACES_SQL
+    + f""", t AS (SELECT u, CAST(u AS VARCHAR) AS gene, CASE WHEN u % 2 = 0 THEN '+' ELSE '-' END AS strand, translate({_SEQUENCE_SQL}, '0123456789abcdef', 'ACGTACGTACGTACGT') AS g FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL)),
+ seqs AS (SELECT gene, strand, tx_rank, g, string_agg(substr(g, cs, ce - cs + 1), '' ORDER BY cs) AS plus FROM t, x GROUP BY ALL),
+ cds AS (SELECT *, CASE strand WHEN '-' THEN {_FLIP_SQL.format("plus")} ELSE plus END AS cds FROM seqs),
+ b AS (SELECT gene, geo.*, CASE geo.strand WHEN '-' THEN {_FLIP_SQL.format("substr(g, bp - 1, 3)")} ELSE substr(g, bp - 1, 3) END AS kmer, CASE WHEN coding THEN substr(cds, pos // 3 * 3 + 1, 3) END AS codon, unnest(['A', 'C', 'G', 'T']) AS base FROM cds JOIN geo USING (tx_rank, strand) WHERE bp BETWEEN low AND high AND gap <= 9),
+ a AS (SELECT *, substr(kmer, 1, 1) || base || substr(kmer, 3, 1) AS kmer_to, coalesce({_CODE_SQL.format("codon")}, '0') AS aa, coalesce({_CODE_SQL.format("(substr(codon, 1, pos % 3) || base || substr(codon, pos % 3 + 2))")}, '0') AS new FROM b WHERE substr(kmer, 2, 1) <> base),
+ q AS (SELECT gene, tx_rank, bp, coalesce(mu, 0) AS mu, CASE WHEN aa <> '*' AND new = '*' THEN 'nonsense' WHEN off <> 0 AND boundary < 3 THEN 'splice_lof' WHEN aa <> new THEN 'missense' WHEN off = 0 AND boundary < 4 THEN 'splice_region' WHEN off = 0 THEN 'synonymous' WHEN boundary < 9 THEN 'splice_region' ELSE 'intronic' END AS consequence
+ FROM a LEFT JOIN {_RATES_SQL} ON a.kmer = r.kmer AND a.kmer_to = r.kmer_to)"""
+)
+
+
+@_query(
+    _SPLICED_SQL
+    + """ SELECT gene, 'T' || gene || '-' || tx_rank AS tx, consequence, count(*) AS n, round(log10(sum(mu)), 6) AS rate FROM (SELECT * FROM q WHERE consequence <> 'intronic' UNION ALL SELECT gene, tx_rank, bp, mu, 'loss_of_function' FROM q WHERE consequence IN ('nonsense', 'splice_lof')) GROUP BY gene, tx_rank, consequence"""
+)
+def site_rates_spliced(spark, sf_dir):
+    """Changes and rates by class in transcripts with introns, on both strands."""
+    sums = class_sums(_spliced_transcripts(spark, sf_dir), read_context_rates(spark), by=("gene", "tx"))
+    return sums.select("gene", "tx", "consequence", "n", F.round(log10_or_null(F.col("mu")), 6).alias("rate"))
+
+
+_UNION_LENGTH = 260
+
+
+@_query(
+    _SPLICED_SQL
+    + f""", w AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.tx_rank < q.tx_rank AND q.bp BETWEEN x.cs AND x.ce)),
+ p AS (SELECT gene, {", ".join(f"log10(sum(mu) FILTER (consequence = '{c.removesuffix('_rate')}')) AS {c}" for c in _RATE_COLUMNS[:5])}, sum(mu) FILTER (consequence = 'nonsense') AS burden FROM w GROUP BY gene)
+ SELECT gene AS transcript_id, '1' AS chrom, {_UNION_LENGTH} AS length, {", ".join(f"round({c}, 6) AS {c}" for c in _RATE_COLUMNS[:5])},
+ CASE WHEN burden IS NOT NULL THEN round(log10({_UNION_LENGTH} / (sum({_UNION_LENGTH}) OVER ())::DOUBLE * sum(burden) OVER () * 1.25), 6) END AS frameshift_rate FROM p"""
+)
+def gene_rates_spliced(spark, sf_dir):
+    """The rates job on genes of two transcripts: bases that the first one codes for count once, shared splice sites twice."""
+    transcripts = _spliced_transcripts(spark, sf_dir)
+    out = gene_rates(transcripts.select(F.col("gene").alias("symbol"), F.col("tx").alias("transcript_id")), transcripts, read_context_rates(spark))
+    return out.select("transcript_id", "chrom", "length", *[F.round(c, 6).alias(c) for c in _RATE_COLUMNS])
+
+
+_HELD_SQL = (
+    _PLACES_SQL
+    + """, v AS (SELECT user_id AS u, CAST(user_id AS VARCHAR) AS gene, event_id AS k, 1 + CAST(hour(ts) * 60 + minute(ts) AS INTEGER) % 315 AS bp, CASE event_type WHEN 'error' THEN 'missense' WHEN 'purchase' THEN 'nonsense' END AS cls FROM events WHERE event_type <> 'signup' AND user_id IS NOT NULL),
+ c AS (SELECT gene, u, size.* FROM (SELECT DISTINCT gene, u FROM v), size),
+ h AS (SELECT v.gene, geo.tx_rank, k, cls, pos, len FROM v JOIN geo ON geo.bp = v.bp AND geo.strand = CASE WHEN u % 2 = 0 THEN '+' ELSE '-' END JOIN size USING (tx_rank) WHERE cls IS NOT NULL AND pos >= 0 AND pos < len AND (coding OR abs(off) < 9)),
+ n AS (SELECT c.gene, c.tx_rank, c.len, CAST(count(h.k) AS INTEGER) AS n FROM c LEFT JOIN h ON h.gene = c.gene AND h.tx_rank = c.tx_rank GROUP BY ALL)"""
+)
+
+
+@_query(_HELD_SQL + " SELECT gene AS hgnc_symbol, 'T' || gene || '-' || tx_rank AS transcript_id, len AS length, n AS de_novos FROM n")
+def transcripts_spliced(spark, sf_dir):
+    """The transcripts job: how many of a gene's variants lie in each of its transcripts, or in the splice regions beside their exons."""
+    return transcripts_with_variants(_spliced_variants(spark, sf_dir), _spliced_transcripts(spark, sf_dir))
+
+
+_CHOSEN_SQL = (
+    _HELD_SQL
+    + """, best AS (SELECT gene, tx_rank, n FROM n WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY gene ORDER BY n DESC, len DESC) = 1),
+ more AS (SELECT h.gene, h.tx_rank, CAST(count(*) AS INTEGER) AS n FROM h JOIN best b ON b.gene = h.gene AND b.tx_rank <> h.tx_rank WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.gene = h.gene AND o.k = h.k AND o.tx_rank = b.tx_rank) GROUP BY h.gene, h.tx_rank),
+ chosen AS (FROM best UNION ALL FROM more)"""
+)
+
+
+@_query(_CHOSEN_SQL + " SELECT gene AS hgnc_symbol, 'T' || gene || '-' || tx_rank AS transcript_id, len AS length, chosen.n AS de_novos FROM chosen JOIN size USING (tx_rank)")
+def transcripts_spliced_minimal(spark, sf_dir):
+    """The same for the small set that holds all variants."""
+    return transcripts_with_variants(_spliced_variants(spark, sf_dir), _spliced_transcripts(spark, sf_dir), minimal=True)
+
+
+@_query(
+    _CHOSEN_SQL
+    + """, e AS (SELECT h.* FROM h JOIN chosen USING (gene, tx_rank) WHERE NOT EXISTS (SELECT 1 FROM h o JOIN chosen b ON b.gene = o.gene AND b.tx_rank = o.tx_rank WHERE o.gene = h.gene AND o.k = h.k AND o.tx_rank < h.tx_rank)),
+ p AS (SELECT a.gene, a.tx_rank, a.cls, abs(a.pos - b.pos) AS d FROM e a JOIN e b ON a.gene = b.gene AND a.tx_rank = b.tx_rank AND a.cls = b.cls AND a.k < b.k),
+ m AS (SELECT gene, tx_rank, cls, CASE WHEN bool_or(d = 0) THEN exp(avg(ln(d + 1))) - 1 ELSE exp(avg(ln(CASE WHEN d = 0 THEN 1 ELSE d END))) END AS x FROM p GROUP BY ALL),
+ tested AS (SELECT gene, CAST(count(*) FILTER (cls = 'missense') AS INTEGER) AS missense, CAST(count(*) FILTER (cls = 'nonsense') AS INTEGER) AS nonsense FROM v GROUP BY gene HAVING count(cls) >= 2),
+ k AS (SELECT unnest(['missense', 'nonsense']) AS cls), d AS (SELECT gene, k.cls, string_agg(coalesce(printf('%.1f', x), 'nan'), ',' ORDER BY tx_rank) AS dist FROM chosen CROSS JOIN k LEFT JOIN m USING (gene, tx_rank, cls) GROUP BY ALL)
+ SELECT t.gene AS gene_id, k.cls AS mutation_category, CASE k.cls WHEN 'missense' THEN missense ELSE nonsense END AS events_n, coalesce(dist, 'nan') AS dist FROM tested t CROSS JOIN k LEFT JOIN d ON d.gene = t.gene AND d.cls = k.cls"""
+)
+def cluster_observed_spliced(spark, sf_dir):
+    """What the clustering job observes in a cover of two transcripts with introns, on both strands."""
+    return observed_clustering(_spliced_variants(spark, sf_dir), _spliced_transcripts(spark, sf_dir))
