@@ -45,7 +45,7 @@ NO_LANG = "und"
 #: Bits of the table of phrases that may be extended.
 FILTER_BITS = 1 << 26
 #: Bytes of phrases in one trie, with their overhead; words of a block of text.
-TRIE_BYTES, PHRASE_COST = 24 << 20, 16
+TRIE_BYTES, PHRASE_COST = 16 << 20, 16
 BLOCK_WORDS = 1 << 21
 #: A text is cut into words so many bytes at a time.
 SLICE_BYTES = 1 << 20
@@ -264,9 +264,9 @@ def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A table of so many bits, as bytes, in which those of the hashes h are set. Its rows are no more than a word of 64 bits each."""
     bit = F.col("h").bitwiseAND(F.lit(bits - 1))
     rows = hashes.select(F.shiftright(bit, 6).alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("word"))
-    rows = rows.groupBy("slot").agg(F.bit_or("word").alias("word")).toPandas()
+    rows = rows.groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
     table = np.zeros(bits >> 6, np.int64)
-    table[rows["slot"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    table[rows["slot"].to_numpy()] = rows["word"].to_numpy()
     return table.view(np.uint8)
 
 
@@ -422,10 +422,11 @@ def counted_by_tries(texts: DataFrame, candidates: DataFrame, longest: int, trie
     tries = materialise(tries, "tries")
     found = None
     for number in range(n):
-        row = tries.where((F.col("trie") == number) & (F.col("at") == -1)).select("data").first()
-        if row is None:  # no candidate has this hash
+        data = tries.where((F.col("trie") == number) & (F.col("at") == -1)).select("data").toArrow()["data"]
+        if not len(data):  # no candidate has this hash
             continue
-        shared = spark.sparkContext.broadcast(bytes(row["data"]))
+        shared = spark.sparkContext.broadcast(data[0].as_py())
+        del data
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
             trie = Trie.unpacked(shared.value)
@@ -438,7 +439,7 @@ def counted_by_tries(texts: DataFrame, candidates: DataFrame, longest: int, trie
 
         sums = texts.mapInPandas(released(run), "trie int, at int, n long").groupBy("trie", "at").agg(F.sum("n").alias("n"))
         part = materialise(sums, "trie-counts")
-        shared.unpersist()
+        shared.destroy()  # its counts are written
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], COUNTS)
