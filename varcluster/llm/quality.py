@@ -6,8 +6,8 @@ in a cycle, and each turn fits a shallow tree of logistic gradients to the bins
 part of it to the feature's table. Then the pairs that explain most of what is left get tables of their own in the
 same way. A score is the sigmoid of a constant plus one table entry per feature and pair, read for a whole batch at once.
 
-Fitting takes MAX_TRAINING labelled rows at most, those of smallest hash of the id: a bounded sample that comes to the
-driver as numbers, never as texts. Only rows whose crc32(id as text) mod 5 is not 0 are learnt from. The model, a few
+Fitting takes MAX_TRAINING labelled texts at most, by hash of id and text, each once however often a row repeats: a
+bounded sample that comes to the driver as numbers, never as texts. Only rows whose crc32(id as text) mod 5 is not 0 are learnt from. The model, a few
 thousand numbers, goes to the tasks, which score whole texts where they lie: nothing shuffles but the labels.
 
 Nulls and edge cases: a null text is empty, and its features are those of the empty text; a null id is neither learnt
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, text_key
 
 MAX_TRAINING = 20_000
 FOLDS = 5
@@ -200,12 +200,21 @@ def with_features(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn(name, udf(text_col))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_TRAINING) -> DataFrame:
+    """(id, label, features) of `most` texts at most, outside the held-out fold: of labelled ids those of least hash, and of their
+    texts likewise. Rows that repeat both id and text are one, so a repeated id brings no more than any other."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("label"))
+    ids = known.orderBy(F.xxhash64("id"), "id").limit(most)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    few = texts.select("id", "key").distinct().orderBy(F.xxhash64("id", "key"), "id", "key").limit(most)
+    once = texts.join(F.broadcast(few), ["id", "key"]).groupBy("id", "key", "label").agg(F.first("text").alias("text"))
+    return with_features(once, "text").select("id", "key", "label", "features")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_TRAINING) -> Model:
     """Fits on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("label"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    rows = with_features(texts, "text").select("id", "label", "features").toPandas().sort_values("id")
+    rows = training_rows(docs, labels, id_col, text_col, label_col, most).drop("key").toPandas()
+    rows = rows.assign(order=[tuple(f) for f in rows["features"]]).sort_values(["id", "order"])
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["label"].to_numpy(float))
 
