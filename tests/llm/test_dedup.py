@@ -95,6 +95,27 @@ def test_chains_of_weak_links_are_compared_in_bands(spark, monkeypatch):
     assert sorted(map(tuple, J.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(J.brute_force(rows))
 
 
+def test_which_pairs_count_does_not_depend_on_what_else_is_there(spark, monkeypatch):
+    """With few bands many linked pairs share none: they count nowhere, in whatever group they stand."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 4):
+            words[rng.randrange(150)] = f"z{rng.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    df, found = spark.createDataFrame(rows, SCHEMA), []
+    for chunk in (512, 20, 5):
+        monkeypatch.setattr(J, "CHUNK", chunk)
+        found.append(sorted(map(tuple, J.jaccard_join(df, rows=12, recall=0.05).collect())))
+    assert found[0] == found[1] == found[2] != sorted(J.brute_force(rows))
+    links = {i: n for i, _, n in J.brute_force(rows)}
+    assert all(n <= links[i] for i, _, n in found[0]) and any(n > 0 for _, _, n in found[0])
+
+
 def test_pieces_hold_every_run_once():
     import random
 

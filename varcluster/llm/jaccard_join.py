@@ -6,10 +6,10 @@
 2. Signatures are cut into bands. Rows and bands are chosen by `bands_for` so that a pair at the threshold shares a
    band with the target probability. Band hashes shuffle; each links its members to its least member, a star instead
    of all pairs. The components of these links hold every candidate pair.
-3. Pairs are verified on the full sets, by products of incidence matrices, in groups that know their size beforehand:
+3. Pairs that share a band are verified on the full sets, by products of incidence matrices. That is the rule everywhere,
+   whatever else they stand among; groups, which know their size beforehand, only say where a pair is looked at:
    - a component of up to CHUNK classes is one group, many to a task;
-   - in a larger one, which weak links may have run together, only classes that share a band are compared. A band with up
-     to CHUNK of them is a group; of bands with the same members one stays, and a pair counts in the least band it shares;
+   - in a larger one, which weak links may have run together, a band with up to CHUNK classes is a group; of bands with the same members one stays, and a pair counts in the least band it shares;
    - the classes of larger bands (one text with many small changes) are cut into chunks ordered by set size; pairs of
      chunks, less those too unlike in size to link, are separate groups, so one hot group spreads over many tasks.
    Groups send back a count of links and a local root for each class, never pairs.
@@ -180,20 +180,33 @@ def _met_before(band: int, bands: list, core: list) -> np.ndarray:
     return met | (known[:, None] & (of[:, None] == of[None, :]))
 
 
+def _in_one_band(bands: list[np.ndarray]) -> np.ndarray:
+    """Pairs that share a band."""
+    n = len(bands)
+    owner = np.repeat(np.arange(n), [len(b) for b in bands])
+    names, column, count = np.unique(np.concatenate(bands), return_inverse=True, return_counts=True)
+    owner, column = owner[count[column] > 1], column[count[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    has = np.zeros((n, int(column.max()) + 1 if len(column) else 1), np.float32)
+    has[owner, column] = 1
+    return has @ has.T > 0
+
+
 def _verify(threshold: float, width: int):
     def group(rows: pd.DataFrame, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         side, within = rows["side"].to_numpy(), bool(rows["within"].iloc[0])
+        bands, band = [np.asarray(b, np.int64) for b in rows["bands"]], rows["band"].iloc[0]
         if within:
             links = _links(sets, None, threshold)
             np.fill_diagonal(links, False)
-            if rows["bands"].iloc[0] is not None:
-                links &= ~_met_before(int(rows["band"].iloc[0]), [np.asarray(b, np.int64) for b in rows["bands"]], rows["core"].tolist())
+            links &= _in_one_band(bands) if pd.isna(band) else ~_met_before(int(band), bands, rows["core"].tolist())
         else:
             links = np.zeros((len(rows), len(rows)), bool)
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if len(a) and len(b):
                 links[np.ix_(a, b)] = _links([sets[i] for i in a], [sets[i] for i in b], threshold)
                 links |= links.T
+                links &= _in_one_band(bands)
         return links @ rows["copies"].to_numpy(), _local_roots(links)
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
@@ -241,13 +254,13 @@ def _cut(large: DataFrame, threshold: float) -> DataFrame:
 
 def _as_group(rows: DataFrame, **own: Column) -> DataFrame:
     """rows with what a group needs beside its texts; a group that is not `shared` has a place of its own."""
-    plain = {"whole": F.lit(True), "shared": F.lit(True), "side": F.lit(0), "within": F.lit(True), "core": F.lit(None).cast("binary"), "bands": F.lit(None).cast("array<long>"), "band": F.lit(None).cast("long")}
-    return rows.withColumns({**plain, **own}).select("rep", "key", "copies", "group", *plain)
+    plain = {"whole": F.lit(True), "shared": F.lit(True), "side": F.lit(0), "within": F.lit(True), "core": F.lit(None).cast("binary"), "band": F.lit(None).cast("long")}
+    return rows.withColumns({**plain, **own}).select("rep", "key", "copies", "group", "bands", *plain)
 
 
 def _compare_large(large: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Groups for the members of large components: (key, rep, copies, band, bands, core) for each band of up to CHUNK of them,
-    and (key, rep, copies, root, to) for the cores, the components of larger bands."""
+    and (key, rep, copies, root, to, bands) for the cores, the components of larger bands."""
     banded = materialise(large.select("key").join(classes.select("key", "bands"), "key").select("key", F.explode("bands").alias("band")), "large-bands")
     total = banded.count()
     bands = materialise(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark")).where("n > 1"), "band-sizes")
@@ -258,9 +271,9 @@ def _compare_large(large: DataFrame, classes: DataFrame, threshold: float) -> tu
     of_one_core = small.groupBy("band").agg(F.min("core").alias("low"), F.max("core").alias("high"), (F.count("core") == F.count("*")).alias("every")).where("every and low = high")
     small = materialise(small.join(of_one_core.select("band"), "band", "left_anti"), "small-bands")
     own = small.groupBy("key").agg(F.sort_array(F.collect_list("band")).alias("bands"))
-    facts = large.select("key", "rep", "copies", "size")
-    groups = facts.join(own, "key").join(cores, "key", "left").select("key", "rep", "copies", "core", "bands", F.explode("bands").alias("band"))
-    return groups, _cut(facts.join(cores.withColumnRenamed("core", "root"), "key"), threshold).select("key", "rep", "copies", "root", "to")
+    facts = large.select("key", "rep", "copies", "size", F.col("bands").alias("all_bands"))
+    groups = facts.drop("all_bands").join(own, "key").join(cores, "key", "left").select("key", "rep", "copies", "core", "bands", F.explode("bands").alias("band"))
+    return groups, _cut(facts.join(cores.withColumnRenamed("core", "root"), "key"), threshold).select("key", "rep", "copies", "root", "to", F.col("all_bands").alias("bands"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, width: int = SHINGLE, keyed: bool = False) -> DataFrame:
@@ -282,14 +295,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = materialise(connected_components(stars.select(F.col("key").alias("a"), F.col("least").alias("b"))), "candidates").select(F.col("id").alias("key"), F.col("root").alias("group"))
 
     sizes = candidates.groupBy("group").agg(F.count("*").alias("n")).withColumn("often", F.col("n"))
-    members = materialise(hot_join(candidates, sizes, "group", "often", n_classes).join(classes.select("key", "rep", "copies", "size"), "key"), "members")
+    members = materialise(hot_join(candidates, sizes, "group", "often", n_classes).join(classes.select("key", "rep", "copies", "size", "bands"), "key"), "members")
     large = members.where(F.col("n") > CHUNK)
     some_large = not large.isEmpty()
     verdict = "key binary, links long, root binary, whole boolean"
     groups = _as_group(members.where(F.col("n") <= CHUNK))
     if some_large:
         in_bands, cores = _compare_large(large, classes, threshold)
-        in_bands = _as_group(in_bands, whole=F.lit(False), core=F.col("core"), bands=F.col("bands"), band=F.col("band"), group=F.col("band").cast("string").cast("binary"))
+        in_bands = _as_group(in_bands, whole=F.lit(False), core=F.col("core"), band=F.col("band"), group=F.col("band").cast("string").cast("binary"))
         cores = cores.withColumn("to", F.explode("to"))
         pairs = _as_group(cores, whole=F.lit(False), shared=F.lit(False), side=F.col("to.side"), within=~F.col("to.cross") & (F.col("to.i") == F.col("to.j")), group=F.concat(F.col("root"), F.concat_ws("|", "to.step", "to.cross", "to.i", "to.j").cast("binary")))
         groups = groups.union(in_bands).union(pairs)
