@@ -238,6 +238,21 @@ def test_quality(spark, sf_dir):
     assert none.score(np.zeros((2, len(quality.FEATURES)))).tolist() == [0.5, 0.5]
 
 
+def test_the_sample_is_bounded_in_rows(spark):
+    """One id with a third of the rows, and one with many texts, bring no more than others."""
+    rows = [(1, "same text here")] * 5000 + [(2, f"text number {i}") for i in range(3000)] + [(i, f"own {i}") for i in range(3, 60)] + [(61, "long " * 400_000), (None, "x"), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(63)] + [(1, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    for most in (1, 10, 20_000):
+        got = quality.training_rows(docs, labels, most=most).collect()
+        assert 0 < len(got) <= most and len({(r["id"], r["key"]) for r in got}) == len(got)
+        assert all(zlib.crc32(str(r["id"]).encode()) % 5 != 0 for r in got)
+    assert len([r for r in got if r["id"] == 1]) == 1 and len([r for r in got if r["id"] == 2]) == 3000 and {r["label"] for r in got if r["id"] == 1} == {0.5}
+    a, b = quality.train(docs, labels, most=50), quality.train(docs.repartition(3), labels, most=50)
+    x = np.random.default_rng(1).random((20, len(quality.FEATURES)))
+    assert (a.score(x) == b.score(x)).all()
+
+
 def test_held_out_is_crc32(spark):
     from pyspark.sql import functions as F
 
@@ -344,6 +359,13 @@ def license_brute(text):
                 if len(t & s) >= licenses.THRESHOLD * len(t) - 1e-9:
                     every.add(label)
                     score = max(score, len(t & s) / len(t))
+    for label, texts in licenses.TEMPLATES.items():  # passages over line ends
+        for t in texts:
+            long, t = -(-len(words(t)) * 10 // round(10 * licenses.THRESHOLD)), set(words(t))
+            share = max((len(t & set(w[i : i + long])) / len(t) for i in range(len(w))), default=0.0) if len(t & set(w)) >= licenses.THRESHOLD * len(t) - 1e-9 else 0.0
+            if share >= licenses.THRESHOLD - 1e-9:
+                every.add(label)
+                score = max(score, share)
     return len(w), len(places), min(places, default=None), max(places, default=None), sorted(labels), sorted(every), score
 
 
@@ -377,6 +399,22 @@ def test_licenses_of_wrapped_headers(spark):
     assert got[20] == ([], 0.0)
 
 
+def test_licenses_equal_their_sql_and_brute_force(spark, tmp_path, awkward):
+    import duckdb
+
+    from varcluster.llm.oracles import license_scan_sql
+
+    texts = [*PAGES, *WRAPPED.values(), *("\n".join(t.split()) for t in WRAPPED.values()), *(" ".join(x for x in t.split() if x != "and") + " tail" for t in WRAPPED.values()), " filler ".join(WRAPPED["mit"].split()), *(t for _, t in awkward)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    own = sorted((tuple(r[c] for c in columns) for r in licenses.op10_license_scan(spark, str(tmp_path)).collect()))
+    assert own == sorted(con.sql(f"select {', '.join(columns)} from ({license_scan_sql()})").fetchall())
+    assert [(r[1], r[2], r[3], r[4], r[5].split(",") if r[5] else [], r[6].split(",") if r[6] else [], r[7]) for r in own] == [license_brute(t) for t in texts]
+
+
 def test_templates_beyond_a_batch_and_phrases_that_overlap(spark, monkeypatch):
     monkeypatch.setattr(licenses, "TEMPLATE_WORDS", 40)
     assert len(licenses.batches_of([(k, licenses.python_words(t)) for k, v in licenses.TEMPLATES.items() for t in v])) > 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import collocations, filter_audit, licenses, secrets
 from .substring_dedup import WINDOW
 
@@ -26,16 +28,18 @@ def substring_dedup_sql() -> str:
 
 
 def license_scan_sql() -> str:
-    """Compares every line with every template, and every place with every phrase."""
+    """Compares every line and every passage with every template, and every place with every phrase."""
     phrases = ", ".join(f"({_list(p.split())}, {_quoted(label)})" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({_list(sorted(set(licenses.python_words(t))))}, {_quoted(label)})" for label, texts in licenses.TEMPLATES.items() for t in texts)
+    length = lambda t: math.ceil(len(licenses.python_words(t)) / licenses.THRESHOLD - 1e-9)
+    templates = ", ".join(f"({_list(sorted(set(licenses.python_words(t))))}, {length(t)}, {_quoted(label)})" for label, texts in licenses.TEMPLATES.items() for t in texts)
     enough = f"{licenses.THRESHOLD} * len(tokens) - 1e-9"
-    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS x FROM documents),
+    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS x FROM documents), t AS (SELECT * FROM (VALUES {templates}) t(tokens, long, label)),
  w AS (SELECT doc_id, regexp_extract_all(x, '{licenses.WORD}') AS w FROM d),
  f AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(phrase) + 2), lambda i: w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase)) AS i FROM w, (VALUES {phrases}) p(phrase, label))),
  b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM f GROUP BY doc_id),
  l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{licenses.WORD}')) AS s FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d)),
- h AS (SELECT doc_id, label, len(list_intersect(s, tokens)) / len(tokens)::DOUBLE AS share FROM l, (VALUES {templates}) t(tokens, label) WHERE len(s) >= {enough} AND len(list_intersect(s, tokens)) >= {enough}),
+ h AS (SELECT doc_id, label, len(list_intersect(s, tokens)) / len(tokens)::DOUBLE AS share FROM l, t WHERE len(s) >= {enough} AND len(list_intersect(s, tokens)) >= {enough}
+  UNION ALL SELECT doc_id, label, max(len(list_intersect(w[i:i + long - 1], tokens))) / len(tokens)::DOUBLE AS share FROM (SELECT doc_id, w, label, tokens, long, unnest(range(1, len(w) + 1)) AS i FROM w, t WHERE len(list_intersect(w, tokens)) >= {enough}) GROUP BY doc_id, label, tokens HAVING max(len(list_intersect(w[i:i + long - 1], tokens))) >= {enough}),
  m AS (SELECT doc_id, list(DISTINCT label) AS met, max(share) AS share FROM h GROUP BY doc_id)
  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(met, [])))), ','), '') AS labels, CASE WHEN base IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
