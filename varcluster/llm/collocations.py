@@ -60,6 +60,11 @@ COUNTS = "lang string, phrase string, n long"
 SENT = 1 << 17
 #: Where a state without successors stands: far before any place.
 NOWHERE = -(1 << 31)
+#: Bits of the low digit of a word's number.
+DIGIT = 10
+LOW = (1 << DIGIT) - 1
+#: Places of an array that are looked at together when it is filled.
+WINDOW = 2048
 
 
 def slices(data: bytes) -> Iterator[bytes]:
@@ -272,8 +277,9 @@ def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 class Trie:
     """A double array over numbered words. The state after one word is the word's number; any other is a place of the array.
-    State s is followed by word w at place base[s] + w if check there is s; accept: the number of the phrase that ends in a
-    state, -1 for none. words: numbers of the words, by language."""
+    An edge by a word is two by its digits, number >> DIGIT and the rest, so successors of a state lie close together. State s
+    is followed by digit d at place base[s] + d if check there is s; accept: the number of the phrase that ends in a state, -1
+    for none. words: numbers of the words, by language."""
 
     def __init__(self, langs: list[str], phrases: list[str]):
         self.words: dict[str, _Known] = {}
@@ -295,17 +301,18 @@ class Trie:
         for k in range(longest):
             has = size > k
             ids[has, k] = [x[k] for x in spelled if len(x) > k]
-        self._used, self._check, self._low = np.ones(count + 1, bool), np.full(count + 1, -1, np.int64), count + 1
-        self._base = {}
+        self._used, self._check, self._filled = np.ones(count + 1, bool), np.full(count + 1, -1, np.int64), np.full(count // WINDOW + 1, WINDOW)
+        self._filled[-1] = count % WINDOW + 1
         state, ends = ids[:, 0].copy(), np.where(size == 1, ids[:, 0], -1)
         bases: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(1, longest):
             rows = np.flatnonzero(size > k)
-            edges, which = np.unique(state[rows] << 32 | ids[rows, k], return_inverse=True)
-            parents, children = edges >> 32, edges & 0xFFFFFFFF
-            places = self._place(parents, children)
-            bases.append((parents, places - children))
-            state[rows] = places[which]
+            for digit in (ids[rows, k] >> DIGIT, ids[rows, k] & LOW):
+                edges, which = np.unique(state[rows] << 32 | digit, return_inverse=True)
+                parents, children = edges >> 32, edges & 0xFFFFFFFF
+                places = self._place(parents, children)
+                bases.append((parents, places - children))
+                state[rows] = places[which]
             last = rows[size[rows] == k + 1]
             ends[last] = state[last]
         n = len(self._used)
@@ -314,13 +321,14 @@ class Trie:
             self.base[parents] = base
         self.accept[ends] = np.arange(len(ends))
         self.size = len(ends)
-        del self._used, self._check, self._low, self._base
+        del self._used, self._check, self._filled
 
     def _grown(self, n: int) -> None:
         more = n - len(self._used)
         if more > 0:
             more += n >> 2
             self._used, self._check = np.append(self._used, np.zeros(more, bool)), np.append(self._check, np.full(more, -1, np.int64))
+            self._filled = np.append(self._filled, np.zeros((len(self._used) - 1) // WINDOW + 1 - len(self._filled), np.int64))
 
     def _place(self, parents: np.ndarray, children: np.ndarray) -> np.ndarray:
         """Places for edges in order of parent and child: those of one parent have the distances of its children. Parents of many
@@ -328,38 +336,36 @@ class Trie:
         starts = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
         counts = np.diff(np.append(starts, len(parents)))
         places = np.empty(len(parents), np.int64)
-        step = 4096
         for g in np.argsort(-counts, kind="stable").tolist():
             if counts[g] == 1:
                 break
             own = slice(starts[g], starts[g] + counts[g])
             ahead = children[own] - children[starts[g]]
-            at = self._low
-            while True:
-                self._grown(at + step + int(ahead[-1]) + 1)
-                free = np.flatnonzero(~self._used[at : at + step]) + at
-                if at == self._low and len(free) < step // 20:  # nearly full: not looked at again
-                    self._low += step
-                found = -1
-                chunk = max(1, (1 << 16) // len(ahead))
-                for a in range(0, len(free), chunk):
+            found, window = -1, -1
+            while found < 0:  # windows so full that no place in them is likely to fit are passed over
+                ahead_of = np.flatnonzero(self._filled[window + 1 :] <= WINDOW * min(0.6, 4 / len(ahead)))
+                window += 1 + int(ahead_of[0]) if len(ahead_of) else len(self._filled) - window
+                self._grown((window + 1) * WINDOW + int(ahead[-1]) + 1)
+                free = np.flatnonzero(~self._used[window * WINDOW : (window + 1) * WINDOW]) + window * WINDOW
+                a, chunk = 0, 16  # most fit early on
+                while a < len(free) and found < 0:
                     fits = ~self._used[free[a : a + chunk, None] + ahead].any(axis=1)
                     if fits.any():
                         found = int(free[a + fits.argmax()])
-                        break
-                if found >= 0:
-                    break
-                at += step
+                    a, chunk = a + chunk, 8 * chunk
             places[own] = found + ahead
-            self._used[places[own]] = True
-            self._check[places[own]] = parents[starts[g]]
+            self._take(places[own], parents[starts[g]])
         lone = starts[counts == 1]
         self._grown(len(self._used) + max(0, len(lone) - int((~self._used).sum())))
         places[lone] = np.flatnonzero(~self._used)[: len(lone)]
-        self._used[places[lone]] = True
-        self._check[places[lone]] = parents[lone]
+        self._take(places[lone], parents[lone])
         return places
 
+    def _take(self, places: np.ndarray, parents: np.ndarray | int) -> None:
+        self._used[places] = True
+        self._check[places] = parents
+        np.add.at(self._filled, places // WINDOW, 1)
+
     def count(self, block: Block) -> np.ndarray:
         """How often each phrase ends where it may: all positions advance by a word at a time."""
         ids, out = block.ids, np.zeros(self.size, np.int64)
@@ -373,12 +379,14 @@ class Trie:
             step += 1
             inside = at + step < len(ids)
             at, state = at[inside], state[inside]
-            word = ids[at + step]
-            place = self.base[state].astype(np.int64) + word
-            ok = (word > 0) & (place >= 0) & (place < len(self.check))
-            at, state, place = at[ok], state[ok], place[ok]
-            ok = self.check[place] == state
-            at, state = at[ok], place[ok]
+            more = (ids[at + step] > 0) & (self.base[state] > NOWHERE)
+            at, state = at[more], state[more]
+            for digit in (lambda w: w >> DIGIT, lambda w: w & LOW):
+                place = self.base[state].astype(np.int64) + digit(ids[at + step])
+                ok = (place >= 0) & (place < len(self.check))
+                at, state, place = at[ok], state[ok], place[ok]
+                ok = self.check[place] == state
+                at, state = at[ok], place[ok]
         return out
 
     def packed(self) -> bytes:
