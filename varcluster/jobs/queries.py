@@ -6,7 +6,7 @@ get a made-up coding sequence, derived from their id, so that whole jobs run on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coding as C
@@ -110,8 +110,8 @@ def nearest_interval(spark, sf_dir):
 
 @_query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM events")
 def prefix_sum(spark, sf_dir):
-    sites = _table(spark, sf_dir, "events").select(F.col("user_id").alias("gene"), F.lit("").alias("tx"), F.lit("").alias("consequence"), F.col("event_id").alias("bp"), F.lit("").alias("alt"), F.col("value").alias("mu"))
-    return with_prefix_sums(sites).select(F.col("gene").alias("user_id"), F.col("bp").alias("event_id"), F.round("cumulative", 4).alias("cumulative"))
+    sites = _table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return with_prefix_sums(sites, ("user_id",), ("event_id",), "value").select("user_id", "event_id", F.round("cumulative", 4).alias("cumulative"))
 
 
 #: A uniform number above 0 from a text, the same in both engines.
@@ -132,11 +132,10 @@ def _uniform(text):
 def weighted_sample(spark, sf_dir):
     """Draws with replacement by weight: a number falls between two prefix sums of its own group."""
     w = _table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("w")).where("w > 0")
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = w.withColumn("cumulative", F.sum("w").over(order))
+    c = with_prefix_sums(w, ("user_id",), ("event_id",), "w")
     d = w.groupBy("user_id").agg(F.sum("w").alias("total")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     d = d.select("user_id", "k", (F.col("total") * _uniform(F.concat_ws("|", "user_id", "k"))).alias("u"))
-    return drawn(c, d, "user_id").select("user_id", "k", "event_id")
+    return drawn(c, d, "user_id", "event_id").select("user_id", "k", "event_id")
 
 
 ROUNDS = 2_000
