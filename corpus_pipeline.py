@@ -6,6 +6,12 @@
    loses nothing keeps its text as it is; one that loses all its words stays, with an empty text.
 4. Secret scan: stretches that hold secrets are replaced by a mark; every document stays.
 5. Packing: documents become pieces of sequences.
+
+Nulls and edge cases: a null text is empty in every stage, and is packed as its end mark alone; a null id is scored, scanned and
+packed, and is neither a near duplicate nor has a smaller id; rows that repeat both id and text are one document to stage 2 and
+stay together; an id with several texts keeps or loses each of them by its own links; of ties the smallest id stays; without labels
+every document is kept by stage 1; very long texts go through whole; an empty table gives an empty result; further columns pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
