@@ -136,6 +136,15 @@ def test_blocks():
     assert html_extract.blocks_of("<p>open <b>text")[1] == [("open text", True)]
 
 
+def test_comment_articles():
+    """A reader's comment may be an article itself, in or beside the one it belongs to."""
+    inside = lambda body: html_extract.blocks_of(page(body)[1])[0]
+    assert inside('<article><p>Body</p><article class="comment"><p>I disagree</p><article class="reply">So do I</article></article><p>End</p></article>') == ["Body", "End"]
+    assert inside('<main><p>Body</p><article class="comment reply">No</article><article id="comment-7">No</article>Tail</main>') == ["Body", "Tail"]
+    assert inside('<article>Body</article><article class="comment">No</article><article>More</article>') == ["Body", "More"]
+    assert inside('<article class="comments">Alone</article>') == ["Alone"] and inside('<article class="post comments-open">Body</article>') == ["Body"]
+
+
 def test_marks_never_take_an_article():
     inside = lambda body: html_extract.blocks_of(page(body)[1])[0]
     for start, end in (

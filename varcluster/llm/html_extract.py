@@ -201,7 +201,7 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
     outside: list[tuple[str, bool]] = []
     parts: list[str] = []
     articles: list[list] = []  # the open ones: tag, and how many of that tag are open since
-    skip, skip_tag, at = 0, "", 0
+    skip, skip_tag, at, seen = 0, "", 0, False
     until, first = -1, False  # the token that ends a container without an end tag; whether its first block does
     tokens = tokens_of(page)
     around, around_main, left = _enclosing(tokens)
@@ -255,6 +255,8 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
             continue
         opens = _opens_article(name, attributes)
         words = _marks(name, attributes) if attributes and not opens and name not in ("html", "body") else ()
+        if opens and name == "article" and seen and not REPLY_WORDS.isdisjoint(_marks(name, attributes)):
+            words = REPLY_WORDS  # a reader's comment, beside an article or in it
         if k in around_main or k in around and not articles and name not in ASIDE_TAGS and REPLY_WORDS.isdisjoint(words):
             marked, words = False, ()  # a wrapper of the page or of its article
         if marked and not opens or words:
@@ -264,6 +266,7 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
             first = until >= 0 and not marked and name not in OPEN_TAGS
         elif opens:
             close()
+            seen = True
             articles.append([name, 1])
         else:
             for a in reversed(articles):
