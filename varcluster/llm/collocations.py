@@ -121,8 +121,8 @@ class Block:
         return pa.array(self.langs, pa.string()).take(pa.array(self.ids[at] - 1)), text.cast(pa.string())
 
 
-def blocks(batches: Iterator[pd.DataFrame], overlap: int, known: dict[str, _Known] | None = None) -> Iterator[Block]:
-    """The texts of batches of (lang, text) as blocks of about BLOCK_WORDS. A text cut in two brings its last `overlap` words
+def blocks(batches: Iterator[pd.DataFrame], overlap: int, known: dict[str, _Known] | None = None, times: int = 1) -> Iterator[Block]:
+    """The texts of batches of (lang, text) as blocks of about `times` BLOCK_WORDS. A text cut in two brings its last `overlap` words
     along. known: the numbers of those words that have one; without it, all are numbered anew in each block."""
     words, langs = [], []
     numbers: dict[str, _Numbers] = {}
@@ -149,7 +149,7 @@ def blocks(batches: Iterator[pd.DataFrame], overlap: int, known: dict[str, _Know
                 parts.append(ids)
                 size += len(ids)
                 tail = found[-overlap:] if overlap else []
-                if size >= BLOCK_WORDS:
+                if size >= times * BLOCK_WORDS:
                     yield Block([*parts, border], stale, words, langs)
                     words, langs, numbers, parts, stale, size = [], [], {}, [], [], 0
             parts.append(border)
@@ -228,7 +228,7 @@ def counted_words(texts: DataFrame) -> DataFrame:
     """COUNTS of words, with h, their hash; texts: (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(_as_pandas(batches), 0):
+        for block in blocks(_as_pandas(batches), 0, times=4):  # words are counted in little memory
             n = np.bincount(block.ids, minlength=len(block.words) + 1)[1:]
             first = np.zeros(len(n) + 1, np.int64)
             first[block.ids[::-1]] = np.arange(len(block.ids))[::-1]
