@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varcluster.functions import coding as C
 from varcluster.operators.sites import drawn, site_table, with_prefix_sums
-from varcluster.sources.annotation import genome_builds, primary
+from varcluster.sources.annotation import fasta_index, genome_builds, primary, read_fasta, read_fasta_regions, read_transcripts
 from varcluster.sources.rates import read_genome_rates, read_rate_store, without_rates, write_rate_store
 from varcluster.sources.structures import files_of_ids, read_pdb_lines, tar_members
 
@@ -155,3 +155,36 @@ def test_command_line_with_stored_rates_and_old_names(spark, tmp_path):
     assert [tuple(r) for r in stored] == [tuple(r) for r in read] and stored[0]["transcript_id"] == "A" and stored[0]["missense_rate"] > -3
     with pytest.raises(ValueError, match="grch38, not grch37"):
         run("--genome-build", "grch37")
+
+
+@pytest.mark.parametrize("step, end", [(7, "\n"), (64, "\r\n"), (1 << 20, "\n")])
+def test_fasta_by_index(spark, tmp_path, step, end):
+    rng = random.Random(step)
+    want = {f"chr{i}": "".join(rng.choice("ACGTN") for _ in range(n)) for i, n in enumerate((0, 1, 60, 61, 333, 120))}
+    width = {name: 20 + 7 * i for i, name in enumerate(want)}
+    text = "".join(f">{name} about it{end}" + "".join(seq[i : i + width[name]] + end for i in range(0, len(seq), width[name])) for name, seq in want.items())
+    (tmp_path / "g.fa").write_bytes(text.encode())
+    index = fasta_index(spark, str(tmp_path / "g.fa"), step)
+    assert {r["chrom"]: r["length"] for r in index.collect()} == {k: len(v) for k, v in want.items()}
+    regions = spark.createDataFrame([("4", 95, 105), ("chr4", 330, 400), ("3", -5, 3), ("9", 1, 5)], "chrom string, start int, end int")
+    got = {(r["chrom"], r["chunk"]): r["seq"] for r in read_fasta_regions(spark, index, regions, chunk=50).collect()}
+    assert got == {(c, k): want[c][k * 50 : k * 50 + 50] for c, k in (("chr4", 1), ("chr4", 2), ("chr4", 6), ("chr3", 0))}
+    every = {(r["chrom"], r["chunk"]): r["seq"] for r in read_fasta(spark, str(tmp_path / "g.fa"), 50).collect()}
+    assert all(every[k] == v for k, v in got.items())
+
+
+def test_fasta_of_uneven_lines_has_no_index(spark, tmp_path):
+    (tmp_path / "g.fa").write_text(">a\nACGT\nAC\nACGT\n")
+    with pytest.raises(PySparkException, match="differ in length"):
+        fasta_index(spark, str(tmp_path / "g.fa")).collect()
+
+
+def test_transcripts_of_some_genes(spark, tmp_path):
+    from test_jobs import GENOME, GTF
+
+    (tmp_path / "a.gtf").write_text(GTF)
+    (tmp_path / "a.fa").write_text(">chr1\n" + "\n".join(GENOME[i : i + 5] for i in range(0, len(GENOME), 5)) + "\n")
+    paths = str(tmp_path / "a.gtf"), str(tmp_path / "a.fa")
+    every = {r["tx"]: r for r in read_transcripts(spark, *paths).collect()}
+    some = read_transcripts(spark, *paths, genes=spark.createDataFrame([("A",), ("NONE",)], "gene string")).collect()
+    assert [r["tx"] for r in some] == ["T1.2"] and some[0] == every["T1.2"]

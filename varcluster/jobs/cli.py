@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--out", required=True, help="folder for the result")
     common.add_argument("--gencode", required=True, help="annotation, GTF")
     common.add_argument("--fasta", required=True, help="genome sequence")
+    common.add_argument("--indexed-fasta", action="store_true", help="the sequence lies on a mounted folder in lines of one length: read the chunks of the input's genes alone")
     common.add_argument("--rates", nargs="*", help="mutation rates; the default ones by trinucleotide if left out")
     common.add_argument("--rates-format", default="context", choices=["context", "genome", "store"], help="by sequence context, by genome position in VCF, or as rate-store has written them")
     common.add_argument("--rates-tag", default="MR", help="INFO entry of rates by genome position")
@@ -67,6 +68,16 @@ def read_rates(spark: SparkSession, args: argparse.Namespace, transcripts: DataF
     return rates, True
 
 
+def wanted_genes(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    """The genes of the input, old names included, by which a FASTA file with an index is read; None if it has none."""
+    if not args.indexed_fasta:
+        return None
+    rows = read_gene_list(spark, args.genes).select(F.col("symbol").alias("gene")) if args.job == "rates" else read_variants(spark, args.input).select("gene")
+    if args.aliases:
+        rows = rows.union(spark.read.csv(args.aliases, sep="\t", schema="symbol string, previous string").select("previous"))
+    return rows
+
+
 def with_known_names(spark: SparkSession, args: argparse.Namespace, rows: DataFrame, name: str, transcripts: DataFrame) -> DataFrame:
     """rows with the annotation's name of each gene where it has only a previous one."""
     if not args.aliases:
@@ -82,7 +93,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         named = genome_builds(spark, args.gencode)
         if named and args.genome_build not in named:
             raise ValueError(f"the annotation is of {', '.join(named)}, not {args.genome_build}")
-    transcripts = read_transcripts(spark, args.gencode, args.fasta)
+    transcripts = read_transcripts(spark, args.gencode, args.fasta, wanted_genes(spark, args))
     if args.job == "rates":
         rates, genome = read_rates(spark, args, transcripts)
         return api.gene_rates(with_known_names(spark, args, read_gene_list(spark, args.genes), "symbol", transcripts), transcripts, rates, genome)

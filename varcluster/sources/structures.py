@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .annotation import local_path
 
 
 #: Bytes of a header and unit of padding in a tar file; fixed values of the format.
@@ -46,16 +47,6 @@ def tar_members(spark: SparkSession, tars: str, split: int = SPLIT) -> DataFrame
     return files.mapInPandas(index, "path string, name string, start long, size long, part int")
 
 
-def local_path(path: str) -> str:
-    """A path that open() takes: tasks seek in tars, for which the folder must be mounted on every machine."""
-    scheme, colon, rest = path.partition(":")
-    if not colon:
-        return path
-    if scheme != "file":
-        raise ValueError(f"byte ranges need a folder that all machines mount, not {path}")
-    return "/" + rest.lstrip("/")
-
-
 def read_pdb_lines(spark: SparkSession, tars: str, split: int = SPLIT) -> DataFrame:
     """(file, line) of the gzipped PDB members of tar files; members in mmCIF are passed over.
 
