@@ -15,8 +15,7 @@ from ..operators.cover import greedy_cover, in_intervals, left_over, most_held
 from ..operators.distances import mean_of_counted, mean_of_counted_3d
 from ..operators.intervals import joined_intervals, nearest_intervals
 from ..operators.simulate import p_values
-from ..operators.sites import class_sums, drawn, rates_by_class, site_table, unmasked, with_context_rates, with_prefix_sums
-from ..sources.annotation import merged_intervals
+from ..operators.sites import class_sums, drawn, rates_by_class, unmasked, with_context_rates, with_prefix_sums
 from ..sources.rates import read_context_rates
 from ..sources.trinucleotide_rates import TRINUCLEOTIDE_RATES
 from ..sources.structures import without_gap
@@ -338,7 +337,8 @@ def masked_sum(spark, sf_dir):
     """Rates summed over transcripts, less the sites that an earlier one codes for."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(("error", "purchase", "click", "view", "signup")) for x in (k, i)]), F.col("event_type"))
     e = _table(spark, sf_dir, "events").select("user_id", F.col("user_id").alias("gene"), rank.alias("tx_rank"), (F.dayofmonth("ts") * 24 + F.hour("ts")).alias("bp"), "value")
-    own = e.groupBy("gene", "tx_rank").agg(merged_intervals(F.collect_list(F.struct(F.col("bp").alias("s"), (F.col("bp") + 1).alias("e")))).alias("cds"))
+    spans = joined_intervals(e.select(F.struct("gene", "tx_rank").alias("k"), F.col("bp").alias("s"), (F.col("bp") + 1).alias("e")), "k")
+    own = spans.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cds")).select("k.gene", "k.tx_rank", "cds")
     return unmasked(e, own).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("mu"))
 
 
