@@ -180,16 +180,12 @@ def _met_before(band: int, bands: list, core: list) -> np.ndarray:
     return met | (known[:, None] & (of[:, None] == of[None, :]))
 
 
-def _in_one_band(bands: list[np.ndarray]) -> np.ndarray:
-    """Pairs that share a band."""
-    n = len(bands)
-    owner = np.repeat(np.arange(n), [len(b) for b in bands])
-    names, column, count = np.unique(np.concatenate(bands), return_inverse=True, return_counts=True)
-    owner, column = owner[count[column] > 1], column[count[column] > 1]
-    column = np.unique(column, return_inverse=True)[1]
-    has = np.zeros((n, int(column.max()) + 1 if len(column) else 1), np.float32)
-    has[owner, column] = 1
-    return has @ has.T > 0
+def _in_one_band(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of left share a band with which of right; a band's hash stands at the same place of every signature."""
+    out = np.zeros((len(left), len(right)), bool)
+    for a, b in zip(np.stack(left).T, np.stack(right).T):
+        out |= a[:, None] == b[None, :]
+    return out
 
 
 def _verify(threshold: float, width: int):
@@ -199,14 +195,14 @@ def _verify(threshold: float, width: int):
         if within:
             links = _links(sets, None, threshold)
             np.fill_diagonal(links, False)
-            links &= _in_one_band(bands) if pd.isna(band) else ~_met_before(int(band), bands, rows["core"].tolist())
+            links &= _in_one_band(bands, bands) if pd.isna(band) else ~_met_before(int(band), bands, rows["core"].tolist())
         else:
             links = np.zeros((len(rows), len(rows)), bool)
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if len(a) and len(b):
-                links[np.ix_(a, b)] = _links([sets[i] for i in a], [sets[i] for i in b], threshold)
+                of = lambda x, at: [x[i] for i in at]
+                links[np.ix_(a, b)] = _links(of(sets, a), of(sets, b), threshold) & _in_one_band(of(bands, a), of(bands, b))
                 links |= links.T
-                links &= _in_one_band(bands)
         return links @ rows["copies"].to_numpy(), _local_roots(links)
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
