@@ -77,3 +77,20 @@ def test_refitted_words_are_nearer():
     x = np.random.default_rng(4).normal(size=(800, 12))
     error = lambda m: ((x - m.decode(m.encode(x))) ** 2).sum()
     assert error(ann.fit(x, 4, 16, refits=2)) < error(ann.fit(x, 4, 16, refits=0))
+
+
+def test_very_unequal_norms(spark, monkeypatch):
+    """The nearest are the longest vectors, of which the codebooks have seen few."""
+    monkeypatch.setattr(ann, "MAX_TRAINING", 1500)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12000, 48)) * np.exp(2 * rng.normal(size=(12000, 1)))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 200 == 0, shortlist=60).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 12000, 200):
+        s = x @ x[q]
+        s[q] = -math.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (60 * 20) >= 0.97

@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by additive quantisation, with exact reranking.
 
-A vector is coded as a sum of one full-dimensional codeword from each of several codebooks, found by beam search: the
-beam keeps the sums nearest to the vector after each codebook. With the code goes a stored norm, the ratio of the
-vector's norm to its sum's. A query's inner products with all codewords are a lookup table; a code's score is the sum
-of one entry per codebook, times the stored norm. The best SHORTLIST codes of a query are reranked by the inner
-product of the original vectors, in double precision.
+A vector's direction is coded as a sum of one full-dimensional codeword from each of several codebooks, found by beam search: the
+beam keeps the sums nearest to the direction after each codebook. With the code go a stored norm, the ratio of the
+vector's norm to its sum's, and the error, how far the vector lies from what its code stands for. A query's inner products
+with all codewords are a lookup table; a code's score is the sum of one entry per codebook, times the stored norm. Long vectors
+are the nearest ones, so directions are coded: errors are then in proportion to the norm, however unequal norms are.
+
+The best SHORTLIST codes of a query are reranked by the inner product of the original vectors, in double precision, and with
+them every code whose score could be among the best k: by no more than `margin` times the error that is usual for it, error times
+norm of the query by the root of the dimensions, it falls short of the k-th score. The margin is measured on a second
+sample, which the codebooks have not seen: what MARGIN_RECALL of its neighbours need, and half as much again. So a shortlist is as long as
+the rows ask for, and has no other bound.
 
 Codebooks are fitted on the driver to a bounded sample, the MAX_TRAINING vectors of smallest hash of the id: each begins
 as the k-means of the residuals of those before it, then codes and the words of all books are fitted in turns, the words
@@ -48,9 +54,11 @@ BOOKS, WORDS, BEAM, REFITS = 24, 64, 4, 1
 MAX_TRAINING = 16_384
 K, SHORTLIST = 20, 400
 #: Rows of a block of queries at most, and of a block of codes; queries whose lookup tables are held at once.
-QUERY_BLOCK, CODE_BLOCK, TABLES = 16_384, 65_536, 256
+QUERY_BLOCK, CODE_BLOCK, TABLES = 4_096, 65_536, 256
 #: Coarse cells at most, the share of neighbours that the cells read must hold, and the queries by which that is measured.
 MAX_CELLS, CELL_RECALL, SAMPLE_QUERIES = 1_024, 0.98, 256
+#: The share of neighbours that the margin must keep, and by what it is widened.
+MARGIN_RECALL, WIDER = 0.99, 1.5
 
 
 @dataclass
@@ -168,16 +176,47 @@ def fit_cells(x: np.ndarray, number: int, k: int = K, recall: float = CELL_RECAL
     return Cells(cells.centres, int(met[min(len(met) - 1, int(np.ceil(recall * len(met))))]) + 1)
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def coded(model: Codebooks, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, ratios and errors of the rows of x, none of which is zero."""
+    codes = model.encode(directions(x))
+    sums = model.decode(codes)
+    length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+    ratio = np.sqrt(np.einsum("ij,ij->i", x, x)) / np.where(length > 0, length, 1)
+    return codes, ratio, np.sqrt(((x - sums * ratio[:, None]) ** 2).sum(axis=1))
+
+
+def usual_error(error: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of the score of a vector with this error for the query q, if errors have no direction."""
+    return error * (np.sqrt(q @ q) / np.sqrt(len(q)))
+
+
+def measured_margin(model: Codebooks, x: np.ndarray, k: int = K) -> float:
+    """Usual errors by which the true neighbours in the sample x fall short of the k-th score, at the wanted share, widened."""
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return WIDER
+    codes, ratio, error = coded(model, x)
+    y = model.decode(codes) * ratio[:, None]
+    short = []
+    for i, q in enumerate(x[:SAMPLE_QUERIES]):
+        score, true = y @ q, x @ q
+        score[i] = true[i] = -np.inf
+        best = np.argpartition(-true, k - 1)[:k]
+        short.append((np.partition(score, len(x) - k)[len(x) - k] - score[best]) / np.maximum(usual_error(error[best], q), 1e-300))
+    return float(WIDER * max(1.0, np.quantile(np.concatenate(short), MARGIN_RECALL)))
+
+
 def _coded(model: Codebooks, cells: Cells):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.array(batch["vector"].tolist(), float)
-                codes = model.encode(x)
-                sums = model.decode(codes)
-                length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
-                ratio = np.sqrt(np.einsum("ij,ij->i", x, x)) / np.where(length > 0, length, 1)
-                yield pd.DataFrame({"id": batch["id"], "cell": cells.of_vectors(x), "code": [c.tobytes() for c in codes], "ratio": ratio})
+                codes, ratio, error = coded(model, x)
+                yield pd.DataFrame({"id": batch["id"], "cell": cells.of_vectors(x), "code": [c.tobytes() for c in codes], "ratio": ratio, "error": error})
 
     return released(run)
 
@@ -191,16 +230,16 @@ def _probed(cells: Cells):
     return released(run)
 
 
-def _search(model: Codebooks, shortlist: int):
+def _search(model: Codebooks, shortlist: int, k: int, margin: float):
     books = len(model.words)
 
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(codes):
-            ids, ratio = codes["id"].to_numpy(), codes["ratio"].to_numpy(np.float32)
+            ids, ratio, error = codes["id"].to_numpy(), codes["ratio"].to_numpy(np.float32), codes["error"].to_numpy()
             code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), books)
             order = np.argsort(ids)
-            ids, ratio, code = ids[order], ratio[order], code[order].T.copy()
+            ids, ratio, error, code = ids[order], ratio[order], error[order], code[order].T.copy()
             names = queries["id"].tolist()
             for start in range(0, len(queries), TABLES):
                 q = np.array(queries["vector"].iloc[start : start + TABLES].tolist(), float)
@@ -212,9 +251,13 @@ def _search(model: Codebooks, shortlist: int):
                     score *= ratio
                     keep = min(shortlist + 1, len(score))
                     best = np.argpartition(-score, keep - 1)[:keep]
+                    reach = score + margin * usual_error(error, q[i])
+                    if len(score) > k + 1:  # the k-th but for the query itself
+                        best = np.union1d(best, np.flatnonzero(reach >= np.partition(score[best], keep - k - 1)[keep - k - 1]))
                     best = best[np.argsort(-score[best], kind="stable")]
-                    out.append((names[start + i], ids[best], score[best].astype(float)))
-        return pd.DataFrame({"query_id": pd.Series([r[0] for r in out], dtype=np.int64), "vec_ids": pd.Series([r[1] for r in out], dtype=object), "estimates": pd.Series([r[2] for r in out], dtype=object)})
+                    out.append((names[start + i], ids[best], score[best].astype(float), reach[best].astype(float)))
+        column = lambda i, kind: pd.Series([r[i] for r in out], dtype=kind)
+        return pd.DataFrame({"query_id": column(0, np.int64), "vec_ids": column(1, object), "estimates": column(2, object), "reaches": column(3, object)})
 
     return run
 
@@ -222,6 +265,7 @@ def _search(model: Codebooks, shortlist: int):
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shortlist: int = SHORTLIST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, `queries` being a condition on `id`."""
     spark = vectors.sparkSession
+    shortlist = max(shortlist, k)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
     lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -234,24 +278,28 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     members = materialise(members.withColumn("class", F.min("id").over(same)), "vector-classes")
     classes = members.where("at = 1").select("id", "vector")
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAINING).select("vector").toPandas()
-    x = np.array(sample["vector"].tolist(), float)
-    model, cells = fit(x), fit_cells(x, min(MAX_CELLS, -(-total // CODE_BLOCK)), k)
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(2 * MAX_TRAINING).select("vector").toPandas()
+    both = np.array(sample["vector"].tolist(), float)
+    x = both[:MAX_TRAINING]
+    model, cells = fit(directions(x)), fit_cells(x, min(MAX_CELLS, -(-total // CODE_BLOCK)), k)
+    margin = measured_margin(model, both[-MAX_TRAINING:][::-1], k)
+    del sample, both
 
     asked = rows.where(queries)
     n_queries, parts = asked.count(), shuffle_partitions(spark)
     block = min(QUERY_BLOCK, max(256, -(-n_queries // (2 * parts))))
     query_blocks = max(1, -(-n_queries // block))
-    coded = materialise(classes.mapInPandas(_coded(model, cells), "id long, cell int, code binary, ratio double"), "codes")
+    stored = materialise(classes.mapInPandas(_coded(model, cells), "id long, cell int, code binary, ratio double, error double"), "codes")
     # lists of a cell, no more than MAX_CELLS rows: how many pieces each is cut into
-    pieces = {r["cell"]: -(-r["n"] // CODE_BLOCK) for r in coded.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    pieces = {r["cell"]: -(-r["n"] // CODE_BLOCK) for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     cuts = F.broadcast(spark.createDataFrame(sorted(pieces.items()), "cell int, pieces long"))
-    codes = coded.join(cuts, "cell").select("cell", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), "id", "code", "ratio").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    codes = stored.join(cuts, "cell").select("cell", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), "id", "code", "ratio", "error").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     probing = asked.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q")).mapInPandas(_probed(cells), "id long, vector array<double>, q int, cells array<int>")
     blocks = probing.select("id", "vector", "q", F.explode("cells").alias("cell")).join(cuts, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    found = blocks.groupBy("q", "cell", "piece").cogroup(codes.groupBy("q", "cell", "piece")).applyInPandas(_search(model, shortlist), "query_id long, vec_ids array<long>, estimates array<double>")
-    pairs = F.zip_with("estimates", "vec_ids", lambda e, v: F.struct(e.alias("estimate"), (-v).alias("minus")))
-    short = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs)), asc=False), 1, shortlist + 1).alias("short")).select("query_id", F.explode("short").alias("s")).select("query_id", (-F.col("s.minus")).alias("vec_id"))
+    found = blocks.groupBy("q", "cell", "piece").cogroup(codes.groupBy("q", "cell", "piece")).applyInPandas(_search(model, shortlist, k, margin), "query_id long, vec_ids array<long>, estimates array<double>, reaches array<double>")
+    each = F.transform(F.arrays_zip("estimates", "vec_ids", "reaches"), lambda x: F.struct(x["estimates"].alias("estimate"), (-x["vec_ids"]).alias("minus"), x["reaches"].alias("reach")))
+    short = found.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list(each)), asc=False).alias("all")).withColumn("least", F.get("all", F.lit(k))["estimate"])
+    short = short.select("query_id", F.explode(F.filter("all", lambda x, i: (i <= shortlist) | (x["reach"] >= F.col("least")))).alias("s")).select("query_id", (-F.col("s.minus")).alias("vec_id"))
     with_vectors = short.join(classes.select(F.col("id").alias("vec_id"), F.col("vector").alias("other")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("own")), "query_id")
     product = F.aggregate(F.zip_with("own", "other", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = with_vectors.select("query_id", "vec_id", product.alias("score"))
