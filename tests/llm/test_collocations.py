@@ -135,3 +135,24 @@ def test_slices_lose_nothing(text, monkeypatch):
     monkeypatch.setattr(C, "SLICE_BYTES", 10)
     got = list(C.slices(text.encode()))
     assert b"".join(got).decode() == text and [w for s in got for w in s.split()] == text.encode().split()
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(1)
+    for h in (np.array([7]), np.array([0, 1 << 40]), np.unique(rng.integers(0, 1 << 40, 5000)), np.arange(300)):
+        n = rng.integers(1, 1 << 30, len(h))
+        got = C.unpack_counts(C.pack_counts(h.astype(np.uint64), n))
+        assert got[0].tolist() == h.tolist() and got[1].tolist() == n.tolist()
+    h = np.sort(rng.integers(0, 1 << C.KEPT, 1 << 18)).astype(np.uint64)
+    assert len(C.pack_counts(h, np.ones(len(h), int))) < 3.5 * len(h)  # rows of a hash and a count took 11 bytes
+
+
+def test_tries_share_a_pass(spark, monkeypatch):
+    """Words are cut once for many tries: passes over the texts do not grow with every trie."""
+    rng = random.Random(7)
+    rows = sample(rng, 40)
+    passes, written = [], C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, name: (passes.append(name), written(df, name))[1])
+    assert mined(spark, rows, least=2, trie_bytes=2000) == brute(rows, least=2)
+    tries = C.tries_of(spark.createDataFrame([(lang, p) for lang, ranked in [("und", {w for _, _, w, *_ in brute(rows, least=2, percent=10**9)})] for p in ranked], "lang string, phrase string"), 2000)[1]
+    assert tries > 1 and passes.count("trie-counts") == 1
