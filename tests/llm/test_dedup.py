@@ -154,3 +154,16 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in [*range(100, 161), 500]}, 1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_texts_are_objects_at_once(spark, monkeypatch):
+    """A task turns no whole Arrow batch into Python objects, in any of its three passes over texts."""
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(S, "canonical", lambda text, own=S.canonical: (seen.append(text), own(text))[1])
+    rows = 20 * S.ROWS
+    batch = pa.RecordBatch.from_pydict({"id": list(range(rows)), "key": [0] * rows, "text": [f"a{i} b" for i in range(rows)], "spans": pa.array([None] * rows, pa.list_(pa.int64()))})
+    first = next(S._apply("text", "spans", ["n_words", "n_removed", "kept_text"])(iter([batch])))
+    assert first.num_rows == len(seen) == S.ROWS and first.column("kept_text").to_pylist() == batch.column("text").to_pylist()[: S.ROWS]
+    assert max(len(x) for x in S._few(iter([batch]))) == S.ROWS

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ GRAM = 3
 #: Words are hashed in blocks of so many bytes of text, and packed strings leave a map task at so many bytes.
 BLOCK_BYTES = 1 << 20
 FLUSH_BYTES = 48 << 20
+#: Rows whose texts are Python objects at once, and bytes of packed strings that leave together.
+ROWS, SENT_BYTES = 256, 1 << 20
 #: What a string, a further place of one, and a local range take in Python beside their own bytes.
 STRING_COST, PLACE_COST, LOCAL_COST = 330, 72, 220
 #: Minimisers are counted in so many cells; strings of so many bytes make a bucket.
@@ -125,14 +128,14 @@ class _Sender:
                 known[text] = [bucket, ids[d], keys[d], at]
 
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
-        rows = [(v[0], v[1], v[i], v[i + 1], k) for k, v in self.strings.items() for i in range(2, len(v), 2)]
+        strings = sorted(self.strings.items(), key=lambda x: x[1][0])
         local = self.local
         self.clear()
-        rows.sort(key=lambda r: r[0])
-        at = np.array([r[0] for r in rows], np.int64)
-        cuts = np.flatnonzero(np.diff(at, prepend=-1)).tolist() + [len(rows)]
+        at = np.fromiter((v[0] for _, v in strings), np.int64, len(strings))
+        cuts = np.flatnonzero(np.diff(at, prepend=-1)).tolist() + [len(strings)]
         for a, b in zip(cuts, cuts[1:]):
-            part = sorted(rows[a:b], key=lambda r: r[1])
+            part = sorted(((v[0], v[1], v[i], v[i + 1], k) for k, v in strings[a:b] for i in range(2, len(v), 2)), key=lambda r: r[1])
+            strings[a:b] = [None] * (b - a)
             yield part[0][0], 0, _pack([r[4] for r in part], np.array([r[1] for r in part], np.int64), np.array([r[2] for r in part], np.int64), np.array([r[3] for r in part], np.int64))
         if local:
             out = np.array(local, np.int64)
@@ -156,31 +159,48 @@ def _blocks(batch: pd.DataFrame, window: int) -> Iterator[tuple[list[int], list[
         yield ids, keys, offsets, docs
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS).to_pandas()
+
+
 def _weigh(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS)
-        for batch in batches:
+        for batch in _few(batches):
             for *_, docs in _blocks(batch, window):
                 words = Words(docs)
                 least, first, last = _super_kmers(words, window)
                 total += np.bincount(_cell(least[first]), words.ends[last + window - 1] - words.starts[first], CELLS)
         cells = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": cells, "bytes": total[cells].astype(np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells].astype(np.int64))], ["cell", "bytes"])
 
     return released(run)
 
 
 def _send(buckets: int, window: int, hot: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flushed(sender: _Sender) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
+        for row in sender.flush():
+            rows.append(row)
+            size += len(row[2])
+            if size >= SENT_BYTES:
+                yield frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield frame(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, window, hot)
-        frame = lambda rows: pd.DataFrame(rows, columns=["bucket", "kind", "data"])
-        for batch in batches:
+        for batch in _few(batches):
             for block in _blocks(batch, window):
                 sender.add(*block)
                 if sender.bytes >= FLUSH_BYTES:
-                    yield frame(list(sender.flush()))
+                    yield from flushed(sender)
         if sender.strings:
-            yield frame(list(sender.flush()))
+            yield from flushed(sender)
 
     return released(run)
 
@@ -269,11 +289,16 @@ def _kept(doc: bytes, spans) -> tuple[int, int, bytes]:
 
 
 def _apply(text_at: str, spans_at: str, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left = [_kept(canonical(text), spans) for text, spans in zip(batch[text_at], batch[spans_at])]
-            n_words, n_removed, kept = zip(*left) if left else ((), (), ())
-            yield batch.drop(columns=[spans_at]).assign(**{names[0]: n_words, names[1]: n_removed, names[2]: [k.decode() for k in kept]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            passed = [c for c in whole.schema.names if c != spans_at]
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
+                texts, spans = batch.column(text_at).to_pylist(), batch.column(spans_at)
+                left = [_kept(canonical(text), spans[i].values.to_numpy() if spans[i].is_valid else None) for i, text in enumerate(texts)]
+                n_words, n_removed, kept = zip(*left)
+                new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *new], [*passed, *names])
 
     return released(run)
 
@@ -281,13 +306,13 @@ def _apply(text_at: str, spans_at: str, names: list[str]):
 def packed_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(bucket, kind, data) of rows (id, key, text)."""
     weight = np.zeros(CELLS)
-    for r in rows.mapInPandas(_weigh(window), "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect():
+    for r in rows.mapInArrow(_weigh(window), "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect():
         weight[r["cell"]] = r["bytes"]
     hot = weight > max(BUCKET_BYTES, 4 * weight.mean())  # from 16 GB of strings on, all cells are large
     # a window that travels alone has all its words, of which a super-k-mer of many windows has each once
     most = weight[~hot].sum() + window * weight[hot].sum()
     buckets = max(4 * shuffle_partitions(rows.sparkSession), -int(-most // BUCKET_BYTES))
-    return rows.mapInPandas(_send(buckets, window, hot), "bucket long, kind int, data binary")
+    return rows.mapInArrow(_send(buckets, window, hot), "bucket long, kind int, data binary")
 
 
 def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -306,7 +331,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn(row_key, text_key(text_col))
     joined = keyed.join(spans, (F.col(id_col).cast("long") == F.col(own["id"])) & (F.col(row_key) == F.col(own["key"])), "left").drop(own["id"], own["key"], row_key)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.StringType())])
-    return joined.mapInPandas(_apply(text_col, own["spans"], names), schema)
+    return joined.mapInArrow(_apply(text_col, own["spans"], names), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
