@@ -156,6 +156,34 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_stop_at_stars_and_write_few_files(spark, monkeypatch):
+    """No round only finds that nothing changes, and a round's tasks go by its rows, not by shuffle partitions."""
+    from varcluster import storage
+    from varcluster.llm import graph
+
+    written = []
+
+    def at(df, name):
+        out = storage.written_at(df, name)
+        written.append((name, len(out[0].inputFiles())))
+        return out
+
+    monkeypatch.setattr(graph, "written_at", at)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40"), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stars = spark.createDataFrame([(i, i % 5) for i in range(5, 300)] * 2, "a long, b long")
+        assert {(r["id"], r["root"]) for r in connected_components(stars).collect()} == {(i, i % 5) for i in range(300)}
+        assert [name for name, _ in written] == ["links"]
+        written.clear()
+        path = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+        assert {r["root"] for r in connected_components(path).collect()} == {0}
+        assert len(written) > 1 and all(files <= spark.sparkContext.defaultParallelism for _, files in written[1:])
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_few_texts_are_objects_at_once(spark, monkeypatch):
     """A task turns no whole Arrow batch into Python objects, in any of its three passes over texts."""
     import pyarrow as pa
