@@ -287,7 +287,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     banded = classes.select("key", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = hot_join(banded, materialise(in_few_tasks(least, n_classes), "bands"), "band", "n", n_classes * bands).where("key <> least")
+    stars = hot_join(banded, materialise(in_few_tasks(least, n_classes * bands), "bands"), "band", "n", n_classes * bands).where("key <> least")
     candidates = materialise(in_few_tasks(connected_components(stars.select(F.col("key").alias("a"), F.col("least").alias("b"))), n_classes), "candidates").select(F.col("id").alias("key"), F.col("root").alias("group"))
 
     sizes = candidates.groupBy("group").agg(F.count("*").alias("n")).withColumn("often", F.col("n"))
