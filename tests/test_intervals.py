@@ -38,3 +38,25 @@ def test_nearest(spark, cell):
 def test_nothing(spark):
     empty, some = spark.createDataFrame([], "k string, s int, e int"), spark.createDataFrame([("a", 1)], "k string, at int")
     assert joined_intervals(empty, "k").count() == 0 and nearest_intervals(empty, some, "k").count() == 0
+
+
+def test_orders_without_a_date(spark, tmp_path):
+    """They join their customer's last interval, or stand alone where it has none, as in the SQL; so do those of no customer."""
+    import duckdb
+
+    from varcluster.jobs.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    rows = [(1, "1995-01-01"), (1, None), (1, None), (1, "1995-03-30"), (1, "1995-01-12"), (2, None), (2, None), (3, None), (4, "1989-12-31"), (4, "1990-01-21"), (None, None), (None, "1996-02-29"), (None, "1996-03-22")]
+    con.sql("create table orders (o_custkey bigint, o_orderdate timestamp)")
+    con.executemany("insert into orders values (?, ?)", rows)
+    con.sql(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    want = con.sql(ORACLE_SQL["interval_union"]).fetchall()
+    got = QUERIES["interval_union"](spark, str(tmp_path)).select("o_custkey", "s", "e").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert [r for r in want if r[0] == 2] == [(2, None, None)] * 2 and sum(r[0] == 1 for r in want) == 2
+
+
+def test_a_place_that_is_null_masks_nothing(spark):
+    rows = [("a", 1, 4), ("a", None, None), ("a", 5, 6), ("b", None, None)]
+    assert [tuple(r) for r in joined_intervals(spark.createDataFrame(rows, "k string, s int, e int"), "k").collect()] == [("a", 1, 6)]

@@ -31,8 +31,8 @@ def with_greatest_before(rows: DataFrame, by: str, at: str, value: str, name: st
 
 
 def joined_intervals(intervals: DataFrame, by: str, cell: int = CELL) -> DataFrame:
-    """(by, s, e): intervals of a key that overlap or touch as one."""
-    longest = intervals.groupBy(by, "s").agg(F.max("e").alias("e"))
+    """(by, s, e): intervals of a key that overlap or touch as one. One without a start is none."""
+    longest = intervals.where(F.col("s").isNotNull()).groupBy(by, "s").agg(F.max("e").alias("e"))
     rows = with_greatest_before(longest, by, "s", "e", "before", cell)
     rows = rows.withColumn("opens", F.when(F.col("before").isNull() | (F.col("s") > F.col("before") + 1), F.col("s")))
     rows = with_greatest_before(rows, by, "s", "opens", "opened", cell)
